@@ -35,10 +35,10 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, colum
         F.max_by("_val", F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))).alias("_end"))
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(
-        over_chunks.rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+        over_chunks.rowsBetween(WindoWindow.unboundedPreceding, -1))).drop("_end")
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_ts", "_side", "_tie") \
-                   .rowsBetween(Window.unboundedPreceding, 0)
+                   .rowsBetween(WindoWindow.unboundedPreceding, 0)
     found = both.withColumn("_in", F.last("_val", ignorenulls=True).over(inside)).filter(F.col("_side") == 1)
     out = found.join(carry, [*keys, "_chunk"], "left").withColumn("_hit", F.coalesce("_in", "_carry"))
     return out.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in lcols], "_hit.asof_ts",
@@ -61,7 +61,7 @@ def even_grid(df: DataFrame, keys: list[str], value: str, at_least: int = 10) ->
     values emits the points between them, found in whole numbers, so no point falls out or doubles.
     """
     w = series_window(keys)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = w.rowsBetween(WindoWindow.unboundedPreceding, WindoWindow.unboundedFollowing)
     rows = df.select(*keys, "day", F.col(value).cast("double").alias("v")).withColumns({
         "day0": F.min("day").over(whole), "span": F.max("day").over(whole) - F.min("day").over(whole),
         "n": F.greatest(F.count("*").over(whole), F.lit(at_least)).cast("bigint")})

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.keyed import series_window
@@ -22,7 +22,7 @@ def _with_gap_sum(df: DataFrame, keys: list[str], value: str, sparse: bool) -> D
     v = F.col(value)
     if sparse:
         seen = F.last(F.when(v.isNotNull(), F.struct("day", v.alias("v"))), ignorenulls=True) \
-                .over(w.rowsBetween(w.unboundedPreceding, -1))
+                .over(w.rowsBetween(Window.unboundedPreceding, -1))
         df = df.withColumn("_seen", seen)
         day0, v0 = F.col("_seen.day"), F.col("_seen.v")
     else:
@@ -111,6 +111,6 @@ def last_value_means(df: DataFrame, keys: list[str], value: str, spans: tuple[in
     """Plain means of the newest 7 and 30 known values among the newest ``rows`` rows."""
     w = series_window(keys).orderBy(F.desc("day"))
     newest = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= rows)
-    known = newest.withColumn("_k", F.count(value).over(w.rowsBetween(w.unboundedPreceding, 0)))
+    known = newest.withColumn("_k", F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     means = [F.avg(F.when(F.col("_k") <= k, F.col(value))).alias(f"ma{k}") for k in spans]
     return known.groupBy(*keys).agg(*means)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalars as S
 from seriesloom.operators.averages import gap_filled_sma
-from seriesloom.operators.keyed import latest_row, series_window
+from seriesloom.operators.keyed import latest_row, series_window, spread
 
 SERIES = ["slug", "chain", "is_native"]
 CROSS_KEY = ["date", "slug", "chain", "is_native", "ma_short_period", "ma_long_period"]
@@ -36,7 +36,8 @@ def price_series(panel: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
         F.explode(F.array(
             F.struct(F.lit(True).alias("is_native"), F.col("floor_native").alias("price")),
             F.struct(F.lit(False).alias("is_native"), F.col("floor_usd").alias("price")))).alias("s"))
-    return both.select("*", "s.is_native", "s.price").drop("s").filter(F.col("price").isNotNull())
+    both = both.select("*", "s.is_native", "s.price").drop("s").filter(F.col("price").isNotNull())
+    return spread(both, SERIES)
 
 
 def _crossings(series: DataFrame, short: int, long: int, short_gap: int, long_gap: int) -> DataFrame:
@@ -82,7 +83,7 @@ def detect_current_crosses(panel: DataFrame, short: int, long: int, short_gap: i
     """
     series = price_series(panel, pairs)
     w = series_window(SERIES)
-    whole = w.rowsBetween(w.unboundedPreceding, w.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     series = (series
               .withColumn("_ahead", F.when(F.lead("day", 1).over(w).isNull(), 0)
                           .when(F.lead("day", 2).over(w).isNull(), 1))

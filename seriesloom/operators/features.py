@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions import codes
@@ -14,7 +14,7 @@ from seriesloom.operators.asof import latest_until
 from seriesloom.operators.calendar import fill_days
 from seriesloom.operators.joins import calendar_rows, left_join_bounded
 from seriesloom.operators.keyed import (ENTITY, dedupe_days, first_of_day, keep_canonical, last_known,
-                                        series_window)
+                                        series_window, spread)
 
 PRICE_COLUMNS = ["slug", "floor_native", "floor_usd", "sale_count_24h", "sale_volume_native_24h",
                  "highest_sale_native_24h", "lowest_sale_native_24h", "listed_count", "unique_owners",
@@ -104,9 +104,9 @@ def _daily_rows(prices: DataFrame, sentiment: DataFrame | None, min_days: int) -
     picks = [last_known(c, "floor_native").alias(c) for c in PRICE_COLUMNS]
     picks += [F.max(c).alias(c) for c in XSENT]
     daily = rows.groupBy(*ENTITY, "date").agg(*picks, F.count("_price_row").alias("_n"))
-    daily = daily.withColumn("day", S.day_number("date"))
+    daily = spread(daily, ENTITY).withColumn("day", S.day_number("date"))
     w = series_window(ENTITY)
-    whole = w.rowsBetween(w.unboundedPreceding, w.unboundedFollowing)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     priced = F.col("_n") > 0
     daily = daily.withColumns({"_rows": F.sum("_n").over(whole),
                                "_lo": F.min(F.when(priced, F.col("day"))).over(whole),
@@ -133,21 +133,36 @@ def entity_features(prices: DataFrame, sentiment: DataFrame | None = None, min_d
 
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("sale_count_24h", "sale_volume_native_24h")}
     p = F.col("floor_native")
-    step1 = priced.withColumns(zero).withColumns({
+    first = priced.withColumns(zero).withColumns({
+        "pos": F.row_number().over(w),
         **{f"ret_{n}d": M.change("floor_native", w, n) for n in (3, 7, 14, 30)},
         "_log": M.log_change("floor_native", w),
-        **{f"ma{n}": M.rolling_mean("floor_native", w, n, n // 2) for n in (20, 50, 200)},
+        "_s10": F.sum("floor_native").over(w.rowsBetween(-9, 0)),
+        "_sold": F.sum("sale_count_24h").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "sale_vol_ma7": M.rolling_mean("sale_volume_native_24h", w, 7, 1),
+    })
+    seen = {n: F.least("pos", F.lit(n)) for n in (7, 20, 30, 50, 200)}
+
+    def sold(n):  # whole numbers, so the difference of running totals is exact
+        return (F.col("_sold") - F.coalesce(F.lag("_sold", n).over(w), F.lit(0))) / seen[n]
+
+    second = first.withColumns({
         "listed_count": M.filled("listed_count", w, 7),
         "total_supply": M.filled("total_supply", w, 30),
         "unique_owners": M.filled("unique_owners", w, 30),
         "ranking": M.filled("ranking", w, 7),
-        "sale_count_ma7": M.rolling_mean("sale_count_24h", w, 7, 1),
-        "sale_vol_ma7": M.rolling_mean("sale_volume_native_24h", w, 7, 1),
-        "_count30": M.rolling_mean("sale_count_24h", w, 30, 3),
         **{c: M.filled(c, w, SENTIMENT_REACH) for c in XSENT},
-    })
-    step2 = step1.withColumns({
+        "sale_count_ma7": sold(7),
+        "_count30": F.when(F.col("pos") >= 3, sold(30)),
+        "_s50": M.blocks("_s10", w, 10, 5),
+        "ma20": F.when(F.col("pos") >= 10, M.blocks("_s10", w, 10, 2) / seen[20]),
         **{f"vol_{n}d": M.rolling_std("_log", w, n, max(3, n // 3)) for n in (7, 14, 30)},
+    })
+    third = second.withColumns({
+        "ma50": F.when(F.col("pos") >= 25, F.col("_s50") / seen[50]),
+        "ma200": F.when(F.col("pos") >= 100, M.blocks("_s50", w, 50, 4) / seen[200]),
+    })
+    step2 = third.withColumns({
         **{f"ma{n}_slope": M.change(f"ma{n}", w, 5) for n in (20, 50)},
         "_newest": F.lead("day").over(w).isNull(),
     })
@@ -170,6 +185,19 @@ def entity_features(prices: DataFrame, sentiment: DataFrame | None = None, min_d
         S.chain_code("chain").cast("double").alias("chain_enc"))
 
 
+def newest_panel_day(prices: DataFrame, min_days: int, max_fill_gap: int) -> DataFrame:
+    """One row: the last day any entity has in the panel, from an aggregate alone.
+
+    An entity's last panel day is its last row, or the last day its last price is carried to.
+    """
+    ends = prices.dropna(subset=[*ENTITY, "date"]).groupBy(*ENTITY).agg(
+        F.count("*").alias("n"), F.max("date").alias("row_end"),
+        F.max(F.when(F.col("floor_native").isNotNull(), F.col("date"))).alias("price_end"))
+    carried = F.date_add("price_end", max_fill_gap)
+    return ends.filter((F.col("n") >= min_days) & F.col("price_end").isNotNull()) \
+               .agg(F.max(F.least("row_end", carried)).alias("day"))
+
+
 # --- the panel ------------------------------------------------------------------------------
 
 def with_symbols(df: DataFrame, features: DataFrame, rows: int) -> DataFrame:
@@ -197,7 +225,7 @@ def feature_panel(prices: DataFrame, hype: DataFrame, sentiment: DataFrame, inde
         if newest is not None:
             canonical = canonical.filter(F.col("date") >= F.lit(newest - dt.timedelta(days=lookback_days)))
         out = entity_features(canonical, None, min_days, max_fill_gap, last_only=True).drop(*XSENT)
-        latest = out.agg(F.max("date")).scalar()
+        latest = newest_panel_day(canonical, min_days, max_fill_gap).scalar()
         x = sentiment.select(*ENTITY, "date", *[F.col(a).cast("double").alias(b) for a, b in SENTIMENT_COLUMNS.items()])
         out = latest_until(out, x, ENTITY, XSENT, latest)
     else:

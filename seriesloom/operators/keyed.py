@@ -15,6 +15,16 @@ def series_window(keys: list[str], order: str = "day"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash the series over the session's shuffle partitions ahead of its windows.
+
+    It is the exchange the windows need anyway. The explicit number keeps AQE from merging
+    partitions by their bytes: sliding windows are bound by CPU, not by size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def last_known(c: str, by: str | Column) -> Column:
     """Aggregate: the non-null value of ``c`` with the greatest ``by``."""
     order = F.col(by) if isinstance(by, str) else by

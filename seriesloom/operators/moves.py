@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import ratio
 
 
-def filled(c: str, w, limit: int | None) -> Column:
-    """Last known value of this row and the ``limit`` rows before it (all of them for None)."""
-    lo = w.rowsBetween(w.unboundedPreceding, 0) if limit is None else w.rowsBetween(-limit, 0)
-    return F.last(c, ignorenulls=True).over(lo)
+def filled(c: str, w, limit: int | None, at: str = "pos") -> Column:
+    """Last known value not more than ``limit`` steps of ``at`` back (any distance for None).
+
+    ``at`` is the row number for a limit in rows and the day number for one in days. The frame
+    only grows, so a row costs one step whatever the limit; a sliding frame would cost ``limit``.
+    """
+    grown = w.rowsBetween(Window.unboundedPreceding, 0)
+    if limit is None:
+        return F.last(c, ignorenulls=True).over(grown)
+    seen = F.last(F.when(F.col(c).isNotNull(), F.struct(F.col(at).alias("at"), F.col(c).alias("v"))),
+                  ignorenulls=True).over(grown)
+    return F.when(F.col(at) - seen["at"] <= limit, seen["v"])
 
 
 def filled_days(c: str, w, limit: int) -> Column:
     """Last known value of the last ``limit`` calendar days; needs no dense calendar."""
-    return F.last(c, ignorenulls=True).over(w.rangeBetween(-limit, 0))
+    return filled(c, w, limit, "day")
+
+
+def blocks(c: str, w, step: int, times: int) -> Column:
+    """Sum of a rolling sum and its predecessors ``step`` rows apart: ``times`` blocks end to end.
+
+    Long windows are built from short ones this way; no difference of running totals is taken,
+    which would lose the digits of small prices behind large ones.
+    """
+    return sum((F.coalesce(F.lag(c, step * i).over(w), F.lit(0.0)) for i in range(1, times)), F.col(c))
 
 
 def change(c: str | Column, w, rows: int) -> Column:
