@@ -155,3 +155,27 @@ def entity_sentiment(spark: SparkSession, sf: str, key: str = "p_brand") -> Data
         F.when(score >= 60, "EXTREMELY_BULLISH").when(score >= 52, "BULLISH").when(score >= 48, "NEUTRAL")
          .when(score >= 40, "BEARISH").otherwise("EXTREMELY_BEARISH").alias("sentiment_category"),
         (1 + F.col("n") % 10).alias("community_engagement"), (1 + F.col("ln") % 10).alias("volume_activity"))
+
+
+def part_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw part prices as one row per (entity, day)."""
+    return raw_prices(spark, sf).groupBy("collection_identifier", "slug", "chain", "date", "day").agg(
+        F.min("floor_native").alias("floor_native"), F.min("floor_usd").alias("floor_usd"),
+        F.min("ranking").alias("ranking"), (F.sum("cents") / 100.0).alias("sale_volume_native_24h"))
+
+
+def brand_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata per brand, the slug of the ``p_brand`` panel."""
+    p = table(spark, sf, "part")
+    return p.groupBy(F.col("p_brand").alias("slug")).agg(F.max("p_partkey").alias("k")).select(
+        "slug", F.concat(F.lit("The "), "slug", F.lit(" - Co")).alias("name"),
+        F.when(F.col("k") % 2 == 0, F.concat(F.lit("@"), "slug")).otherwise("").alias("x_page"),
+        F.concat(F.lit("https://market.example/"), F.col("k").cast("string")).alias("marketplace_url"))
+
+
+def stored_crosses(panel_rows: DataFrame) -> DataFrame:
+    """Crossovers of a panel with delivery flags that vary by day."""
+    from seriesloom.operators.crosses import detect_crosses
+    rows = detect_crosses(panel_rows, 20, 50, 20, 50)
+    return (rows.withColumn("telegram_sent", F.dayofmonth("date") % 2 == 0)
+                .withColumn("x_sent", F.length("slug") % 2 == 0))

@@ -191,9 +191,10 @@ def hash_tag(c: str | Column) -> Column:
 
 
 def fixed(c: str | Column, places: int) -> Column:
-    """Number with fixed decimals, ``N/A`` when missing."""
-    x = F.round(col(c).cast("double"), places)
-    return F.when(x.isNull(), "N/A").otherwise(F.format_string(f"%.{places}f", x))
+    """Number with fixed decimals, ``N/A`` when missing. The pattern form rounds the exact binary
+    value, as printf does."""
+    text = F.call_function("format_number", col(c).cast("double"), F.lit("0." + "0" * places))
+    return F.coalesce(text, F.lit("N/A"))
 
 
 def shown(c: str | Column) -> Column:
