@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from seriesloom.fixtures import CHAINS
 
 
+# Prices are short decimals, so their means often end on a 5 just behind the rounding digit, where
+# the last bit of a sum decides. Both sides shift by the same small part of that digit first.
+_SHIFT = 0.0173
+
+
 def r(c: str | Column, places: int = 6) -> Column:
     """Rounded for comparison; adding 0.0 turns a negative zero into zero."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.round(x, places) + F.lit(0.0)
+    return F.round(x + F.lit(_SHIFT * 10 ** -places), places) + F.lit(0.0)
 
 
 def rs(expr: str, places: int = 6) -> str:
     """The same in SQL."""
-    return f"(round({expr}, {places}) + 0.0)"
+    return f"(round({expr} + CAST({_SHIFT * 10 ** -places!r} AS DOUBLE), {places}) + 0.0)"
 
 
 _CHAIN_LIST = "[" + ", ".join(f"'{c}'" for c in CHAINS) + "]"

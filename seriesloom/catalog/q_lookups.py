@@ -258,15 +258,14 @@ _GRID = """pts AS (SELECT slug, chain, day, floor_native AS v, min(day) OVER p A
  grid AS (SELECT slug, chain, k, d0 + k * span / (n - 1) AS at_day FROM g),
  lo AS (SELECT grid.slug, grid.chain, k, at_day, max(day) AS dl FROM grid JOIN pts ON pts.slug = grid.slug AND pts.chain = grid.chain AND day <= at_day + 1e-9 GROUP BY 1, 2, 3, 4),
  hi AS (SELECT grid.slug, grid.chain, k, min(day) AS dh FROM grid JOIN pts ON pts.slug = grid.slug AND pts.chain = grid.chain AND day >= at_day - 1e-9 GROUP BY 1, 2, 3)"""
-# A third of the price is compared: interpolated prices often end on a 5 just behind the rounding digit.
 add("chart_grid", f"""WITH {panel_sql('p_brand')}, recent AS (SELECT * FROM panel WHERE date >= DATE '{AS_OF}' - 90), {_GRID}
  SELECT lo.slug, lo.chain, lo.k, {rs('at_day')} AS at_day,
-  {rs('(CASE WHEN dh = dl THEN a.v ELSE a.v + (b.v - a.v) * (at_day - dl) / (dh - dl) END) / 3.0', 4)} AS third_of_floor
+  {rs('(CASE WHEN dh = dl THEN a.v ELSE a.v + (b.v - a.v) * (at_day - dl) / (dh - dl) END)', 5)} AS floor_native
  FROM lo JOIN hi USING (slug, chain, k) JOIN pts a ON a.slug = lo.slug AND a.chain = lo.chain AND a.day = dl
  JOIN pts b ON b.slug = lo.slug AND b.chain = lo.chain AND b.day = dh""")(
     lambda s, sf: AS.even_grid(L.since(fx.panel(s, sf), AS_OF, 90).select("slug", "chain", "day", "floor_native"),
                                ["slug", "chain"], "floor_native")
-    .select("slug", "chain", "k", r("at_day").alias("at_day"), r(F.col("floor_native") / 3.0, 4).alias("third_of_floor")))
+    .select("slug", "chain", "k", r("at_day").alias("at_day"), r("floor_native", 5).alias("floor_native")))
 
 
 @query("chart_data")

@@ -126,8 +126,15 @@ def reply_object(text: str | Column, schema: str, strict: bool = False) -> Colum
     or it cannot be parsed. ``strict`` takes the whole text as the object."""
     t = S.col(text)
     body = F.trim(t) if strict else F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    whole = F.from_json(body, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(body.startswith("{") & whole["_bad"].isNull(), whole)
+    # As the only element of an array, so that text behind a complete object makes it unparsable.
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{_typed(schema)}>>",
+                      {"allowSingleQuotes": "false"})
+    return F.when(body.startswith("{") & (F.size(one) == 1), one[0])
+
+
+def _typed(schema: str) -> str:
+    """``a int, b string`` as the fields of a struct type."""
+    return ", ".join(":".join(field.split()) for field in schema.split(","))
 
 
 def market_replies(texts: DataFrame, text: str, date: str) -> DataFrame:
