@@ -13,6 +13,7 @@ from seriesloom.operators import calendar as C
 from seriesloom.operators import features as FE
 from seriesloom.operators import keyed as K
 from seriesloom.operators import moves as M
+from seriesloom.operators.joins import calendar_rows, left_join_bounded
 
 KEY = "l_suppkey"
 MIN_DAYS = 60
@@ -153,6 +154,10 @@ def features(spark, sf, key=KEY):
 
 
 def full_panel(spark, sf, key=KEY, **kw):
+    # All market series come from order dates, and the newest price from ship dates: two one-column scans.
+    kw["signal_days"] = calendar_rows(fx.table(spark, sf, "orders"), "o_orderdate") + 1
+    if kw.get("lookback_days"):
+        kw["newest"] = fx.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
     return FE.feature_panel(fx.panel(spark, sf, key, ranked=True), fx.market_daily(spark, sf),
                             fx.entity_sentiment(spark, sf, key), fx.index_snapshots(spark, sf),
                             fx.symbol_daily(spark, sf), index_tie=["o_orderkey"], **kw)
@@ -336,12 +341,12 @@ def symbols_wide(spark, sf):
  SELECT collection_identifier, chain, date, hype_score, hype_sentiment, fear_greed_value, {rs('native_ret_7d')} AS native_ret_7d,
   {rs('btc_vol_7d')} AS btc_vol_7d FROM full_panel""")
 def signal_join(spark, sf):
-    from seriesloom.operators.joins import calendar_rows, left_join_bounded
     p = fx.panel(spark, sf, "p_brand").select(*ENT, "date")
     hype, idx, sym = fx.market_daily(spark, sf), fx.index_snapshots(spark, sf), fx.symbol_daily(spark, sf)
-    out = left_join_bounded(p, FE.market_mood(hype), ["date"], calendar_rows(hype, "date"))
-    out = left_join_bounded(out, FE.fear_index(idx, ["o_orderkey"]), ["date"], calendar_rows(idx, "date"))
-    out = FE.with_symbols(out, FE.symbol_features(sym), calendar_rows(sym, "date", 3))
+    days = calendar_rows(fx.table(spark, sf, "orders"), "o_orderdate") + 8
+    out = left_join_bounded(p, FE.market_mood(hype), ["date"], days)
+    out = left_join_bounded(out, FE.fear_index(idx, ["o_orderkey"]), ["date"], days)
+    out = FE.with_symbols(out, FE.symbol_features(sym), 3 * days)
     return out.select(*ENT, "date", "hype_score", F.col("hype_sentiment").cast("double").alias("hype_sentiment"),
                       "fear_greed_value", r("native_ret_7d").alias("native_ret_7d"), r("btc_vol_7d").alias("btc_vol_7d"))
 

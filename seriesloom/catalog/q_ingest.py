@@ -132,9 +132,14 @@ query("insert_if_absent", f"""WITH {_OD} SELECT o_custkey, date, min(o_orderkey)
  WHERE (o_custkey, date) NOT IN (SELECT o_custkey, date FROM o WHERE o_orderkey % 3 = 0) GROUP BY 1, 2""")(
     lambda s, sf: (lambda o: KT.new_rows(o.filter("o_orderkey % 3 = 0"), o, _K, ["o_orderkey"]).select(*_K, "o_orderkey"))(_orders(s, sf)))
 query("insert_report", f"""WITH {_OD}, t AS (SELECT *, CASE WHEN o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey, date)
-  AND (o_custkey, date) NOT IN (SELECT o_custkey, date FROM o WHERE o_orderkey % 3 = 0) THEN 'inserted' ELSE 'skipped' END AS outcome FROM o)
- SELECT outcome, count(*) AS n FROM t GROUP BY 1""")(
-    lambda s, sf: (lambda o: KT.outcome_counts(KT.tag_inserts(o.filter("o_orderkey % 3 = 0"), o, _K, ["o_orderkey"])))(_orders(s, sf)))
+  AND (o_custkey, date) NOT IN (SELECT o_custkey, date FROM o WHERE o_orderkey % 3 = 0) THEN 1 ELSE 0 END AS fresh FROM o)
+ SELECT count(*) AS total, CAST(sum(fresh) AS BIGINT) AS inserted, count(*) - CAST(sum(fresh) AS BIGINT) AS skipped FROM t""")(
+    lambda s, sf: (lambda o: KT.insert_counts(o.filter("o_orderkey % 3 = 0"), o, _K))(_orders(s, sf)))
+query("ingest_run_report", f"""WITH {_SNAP_SQL}, k AS (SELECT DISTINCT collection_identifier, chain, date FROM snap WHERE date = DATE '{RUN}')
+ SELECT 'inserted' AS outcome, (SELECT count(*) FROM k) AS n UNION ALL SELECT 'skipped', (SELECT count(*) FROM snap WHERE date = DATE '{RUN}') - (SELECT count(*) FROM k)
+ UNION ALL SELECT 'other_date', count(*) FROM snap WHERE date <> DATE '{RUN}'""")(
+    lambda s, sf: (lambda t: KT.run_report(t, t.limit(0), ["collection_identifier", "chain", "date"]))(
+        P.with_date_outcome(P.price_rows(_snapshots(s, sf)), RUN)))
 query("upsert_newest", f"""WITH {_OD}, m AS (SELECT *, o_orderkey % 2 AS side FROM o)
  SELECT o_custkey, date, o_orderkey, o_totalprice FROM m QUALIFY row_number() OVER (PARTITION BY o_custkey, date ORDER BY side DESC, o_orderkey DESC) = 1""")(
     lambda s, sf: (lambda o: KT.merged(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), _K, "o_orderkey"))(_orders(s, sf)))

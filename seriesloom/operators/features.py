@@ -146,6 +146,9 @@ def entity_features(prices: DataFrame, sentiment: DataFrame | None = None, min_d
     def sold(n):  # whole numbers, so the difference of running totals is exact
         return (F.col("_sold") - F.coalesce(F.lag("_sold", n).over(w), F.lit(0))) / seen[n]
 
+    log = F.col("_log")
+    logs = {"_n": F.when(log.isNull(), 0.0).otherwise(1.0), "_x": F.coalesce(log, F.lit(0.0)),
+            "_q": F.coalesce(log * log, F.lit(0.0))}
     second = first.withColumns({
         "listed_count": M.filled("listed_count", w, 7),
         "total_supply": M.filled("total_supply", w, 30),
@@ -156,13 +159,19 @@ def entity_features(prices: DataFrame, sentiment: DataFrame | None = None, min_d
         "_count30": F.when(F.col("pos") >= 3, sold(30)),
         "_s50": M.blocks("_s10", w, 10, 5),
         "ma20": F.when(F.col("pos") >= 10, M.blocks("_s10", w, 10, 2) / seen[20]),
-        **{f"vol_{n}d": M.rolling_std("_log", w, n, max(3, n // 3)) for n in (7, 14, 30)},
+        # Count, sum and squares of 7 log changes; 14 and 30 are put together from them below.
+        **{f"{k}7": F.sum(x).over(w.rowsBetween(-6, 0)) for k, x in logs.items()},
     })
     third = second.withColumns({
+        **{f"{k}14": M.blocks(f"{k}7", w, 7, 2) for k in logs},
         "ma50": F.when(F.col("pos") >= 25, F.col("_s50") / seen[50]),
         "ma200": F.when(F.col("pos") >= 100, M.blocks("_s50", w, 50, 4) / seen[200]),
     })
+    for k, x in logs.items():
+        outer = [F.coalesce(F.lag(x, i).over(w), F.lit(0.0)) for i in (28, 29)]
+        third = third.withColumn(f"{k}30", M.blocks(f"{k}14", w, 14, 2) + outer[0] + outer[1])
     step2 = third.withColumns({
+        **{f"vol_{n}d": M.std_of_sums(F.col(f"_n{n}"), F.col(f"_x{n}"), F.col(f"_q{n}"), max(3, n // 3)) for n in (7, 14, 30)},
         **{f"ma{n}_slope": M.change(f"ma{n}", w, 5) for n in (20, 50)},
         "_newest": F.lead("day").over(w).isNull(),
     })
@@ -213,15 +222,18 @@ def with_symbols(df: DataFrame, features: DataFrame, rows: int) -> DataFrame:
 
 def feature_panel(prices: DataFrame, hype: DataFrame, sentiment: DataFrame, index: DataFrame, symbols: DataFrame,
                   min_days: int = 60, max_fill_gap: int = 7, lookback_days: int | None = None,
-                  index_tie: list[str] = ()) -> DataFrame:
+                  index_tie: list[str] = (), newest: dt.date | None = None,
+                  signal_days: int | None = None) -> DataFrame:
     """All features of every (entity, day), or of each entity's last day with ``lookback_days``.
 
     The look-back bound is computed first and reaches the scan as a literal. Market series hold
-    one row per day and are broadcast when the span of their dates proves them small.
+    one row per day and are broadcast when the span of their dates proves them small. A caller
+    that knows the newest price date, or the number of days the market series span, passes them
+    and saves the jobs that ask for them.
     """
     canonical = keep_canonical(prices)
     if lookback_days is not None:
-        newest = prices.agg(F.max("date")).first()[0]
+        newest = newest or prices.agg(F.max("date")).first()[0]
         if newest is not None:
             canonical = canonical.filter(F.col("date") >= F.lit(newest - dt.timedelta(days=lookback_days)))
         out = entity_features(canonical, None, min_days, max_fill_gap, last_only=True).drop(*XSENT)
@@ -231,10 +243,13 @@ def feature_panel(prices: DataFrame, hype: DataFrame, sentiment: DataFrame, inde
     else:
         out = entity_features(canonical, sentiment, min_days, max_fill_gap)
     n_symbols = len({*codes.CHAIN_SYMBOLS.values(), codes.MACRO_SYMBOL})
-    reach = 2 * SIGNAL_REACH
-    out = left_join_bounded(out, market_mood(hype), ["date"], calendar_rows(hype, "date") + reach)
-    out = left_join_bounded(out, fear_index(index, index_tie), ["date"], calendar_rows(index, "date") + reach)
-    out = with_symbols(out, symbol_features(symbols), calendar_rows(symbols, "date", n_symbols))
+
+    def days(df):
+        return signal_days if signal_days is not None else calendar_rows(df, "date")
+
+    out = left_join_bounded(out, market_mood(hype), ["date"], days(hype) + SIGNAL_REACH)
+    out = left_join_bounded(out, fear_index(index, index_tie), ["date"], days(index) + SIGNAL_REACH)
+    out = with_symbols(out, symbol_features(symbols), days(symbols) * n_symbols)
     number = {c: F.col(c).cast("double") for c in ("hype_sentiment", "hype_trend")}
     return out.withColumns(number).select(*ENTITY, "slug", "date", "day", "floor_native", "floor_usd", *codes.FEATURES)
 

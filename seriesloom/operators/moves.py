@@ -58,6 +58,13 @@ def rolling_mean(c: str | Column, w, rows: int, at_least: int) -> Column:
     return F.when(F.count(x).over(f) >= at_least, F.avg(x).over(f))
 
 
+def std_of_sums(n: Column, total: Column, squares: Column, at_least: int) -> Column:
+    """Sample deviation from count, sum and sum of squares; for values that scatter around zero,
+    like log changes, where the difference keeps its digits."""
+    spread = F.greatest(squares - total * total / n, F.lit(0.0))
+    return F.when((n >= at_least) & (n > 1), F.sqrt(spread / (n - 1)))
+
+
 def rolling_std(c: str, w, rows: int, at_least: int) -> Column:
     """Sample deviation of the last ``rows`` rows."""
     f = w.rowsBetween(-(rows - 1), 0)

@@ -108,9 +108,10 @@ def refresh_candidates(prices: DataFrame, meta: DataFrame, sentiment: DataFrame,
 
 def cross_summary(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Crossovers found and, of these, not yet stored."""
-    from seriesloom.sinks.keyed_tables import tag_inserts
-    return tag_inserts(stored, found, crosses.CROSS_KEY).groupBy("ma_short_period", "ma_long_period").agg(
-        F.count("*").alias("found"), F.count_if(F.col("outcome") == "inserted").alias("saved"))
+    from seriesloom.sinks.keyed_tables import insert_counts
+    periods = ["ma_short_period", "ma_long_period"]
+    counts = insert_counts(stored, found, crosses.CROSS_KEY, periods)
+    return counts.select(*periods, F.col("total").alias("found"), F.col("inserted").alias("saved"))
 
 
 def pending_alerts(stored: DataFrame, panel: DataFrame, meta: DataFrame, on: dt.date, quota: int = 5) -> DataFrame:

@@ -22,26 +22,38 @@ MONTH = "month"
 
 # --- rules ----------------------------------------------------------------------------------
 
-def tag_inserts(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Batch rows with ``outcome``: inserted, or skipped because the key is stored or was in the
-    batch before (in ``order``). A key with a NULL part never equals another, as in a unique index."""
+def insert_counts(stored: DataFrame, batch: DataFrame, keys: list[str], by: list[str] = ()) -> DataFrame:
+    """total, inserted and skipped rows of an insert-if-absent, optionally per ``by``, which is part
+    of the key. A key with a NULL part never equals another, as in a unique index, so every such row
+    is inserted; of any other key the first row is, unless the key is stored."""
     known = stored.select(*keys).distinct().withColumn("_stored", F.lit(True))
-    seq = batch.withColumn("_seq", F.struct(*(order or [c for c in batch.columns if c not in keys])))
+    copies = batch.groupBy(*keys).agg(F.count("*").alias("_n")).join(known, keys, "left")
+    inserted = F.when(~_whole(keys), F.col("_n")).when(F.col("_stored").isNull(), 1).otherwise(0)
+    out = copies.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
+                                  F.coalesce(F.sum(inserted), F.lit(0)).alias("inserted"))
+    return out.withColumn("skipped", F.col("total") - F.col("inserted"))
+
+
+def run_report(tagged: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of an ingest run per outcome: inserted, skipped (key known), and the outcomes other than
+    usable that the projection gave."""
+    usable = tagged.filter(F.col("outcome") == "usable")
+    counts = insert_counts(stored, usable, keys)
+    done = counts.select(F.explode(F.create_map(F.lit("inserted"), "inserted", F.lit("skipped"), "skipped")).alias("outcome", "n"))
+    return done.unionByName(outcome_counts(tagged.filter(F.col("outcome") != "usable")))
+
+
+def _whole(keys: list[str]) -> Column:
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    first = seq.filter(whole).groupBy(*keys).agg(F.min("_seq").alias("_first"), F.count("*").alias("_copies"))
-    rows = seq.join(known, keys, "left").join(first, keys, "left")
-    fresh = F.col("_stored").isNull() & (~whole | (F.col("_copies") == 1) | F.col("_seq").eqNullSafe(F.col("_first")))
-    return rows.withColumn("outcome", F.when(fresh, "inserted").otherwise("skipped")).select(*batch.columns, "outcome")
+    return whole
 
 
 def new_rows(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Rows to append: the first of each key in the batch that is not stored yet."""
     order = order or [c for c in batch.columns if c not in keys]
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
+    whole = _whole(keys)
     fresh = batch.join(stored.select(*keys), keys, "left_anti")
     return first_row(fresh.filter(whole), keys, order).unionByName(fresh.filter(~whole))
 

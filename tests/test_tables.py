@@ -38,8 +38,15 @@ def test_append_twice_equals_once(spark, tmp_path):
 def test_null_keys_never_match(spark):
     b = spark.createDataFrame([(None, 1), (None, 1), ("a", 1), ("a", 2)], "k string, v int")
     assert KT.new_rows(b.filter("k IS NULL"), b, ["k"]).count() == 3
-    got = KT.tag_inserts(b.filter("k IS NULL"), b, ["k"]).groupBy("outcome").count().collect()
-    assert {r[0]: r[1] for r in got} == {"inserted": 3, "skipped": 1}
+    same = b.unionByName(b.filter("v = 2"))
+    assert tuple(KT.insert_counts(b.filter("k IS NULL"), same, ["k"]).first()) == (5, 3, 2)
+    assert tuple(KT.insert_counts(b, b.limit(0), ["k"]).first()) == (0, 0, 0)
+
+
+def test_run_report(spark):
+    t = spark.createDataFrame([("a", "usable"), ("a", "usable"), ("b", "usable"), ("c", "error"), ("d", "other_date")], "k string, outcome string")
+    got = {r.outcome: r.n for r in KT.run_report(t, t.filter("k = 'b'"), ["k"]).collect()}
+    assert got == {"inserted": 1, "skipped": 2, "error": 1, "other_date": 1}
 
 
 def test_upsert_replaces_only_its_months(spark, tmp_path):
