@@ -6,14 +6,19 @@ Words are runs of ``[^\\x20\\x09-\\x0D]+`` throughout; ``bytes.split()`` cuts UT
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACES = "\t\n\x0b\x0c\r"
+_SHIPPED: set[str] = set()
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -54,6 +59,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="code-")) / "seriesloom_modules.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted((root / "seriesloom").rglob("*.py")):
+            out.write(file, str(file.relative_to(root)))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(application)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -73,7 +92,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of ``batch`` of up to ``most`` bytes of ``column``; a larger row comes alone."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:
