@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, tokenfile
+from seriesloom.llm import bpe, mixing, quality, tokenfile
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_checks(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
