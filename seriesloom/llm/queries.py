@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, mixing, quality, simhash, tokenfile
+from seriesloom.llm import bpe, mixing, quality, simhash, spans, tokenfile
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_groups")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_repeated_passages")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.removal_digests(table(spark, sf_dir, "documents"))
