@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, mixing, quality, simhash, spans, tokenfile
+from seriesloom.llm import bpe, lm, mixing, quality, simhash, spans, tokenfile
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeated_passages")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
