@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, lm, mixing, quality, simhash, spans, tokenfile
+from seriesloom.llm import bpe, langid, lm, mixing, quality, simhash, spans, tokenfile, urls, vptree
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lm_scores")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages_of(table(spark, sf_dir, "documents"))
+
+
+@query("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op2_vp_tree_neighbours")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.neighbours_of_some(table(spark, sf_dir, "embeddings"))
