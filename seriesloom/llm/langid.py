@@ -29,7 +29,7 @@ FEATURES, ORDER, BLOCK = 1 << 16, 3, 1 << 20
 #: Training texts of each language that fit the weights, at most.
 SAMPLE = 1500
 #: FTRL-proximal: step, smoothing, L1 and L2; passes over the sample.
-ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.02, 0.02, 3
+ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.2, 0.02, 3
 FOLDS, HELD = 4, 2
 _SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 

@@ -45,13 +45,18 @@ def rows_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add.reduce(np.ascontiguousarray(a * b), axis=1)
 
 
+def in_range(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine, so that squares stay within the range of doubles."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0, keepdims=True))[1])
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = in_range(a), in_range(b)
     return rows_sum(a, b) / (np.sqrt(rows_sum(a, a)) * np.sqrt(rows_sum(b, b)))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    # scaled first: squares of very large or small components leave the range of doubles
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = in_range(vectors)
     return scaled / np.sqrt(rows_sum(scaled, scaled))[:, None]
 
 
