@@ -16,7 +16,9 @@ Spark commits, names those that count. A lost executor therefore leaves at most
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from seriesloom.llm.bpe import byte_alphabet
 from seriesloom.llm.common import new_folder, pieces, shuffle_partitions, staged
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,43 +41,64 @@ MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 LEVEL = 1
 #: Distinct words that a worker remembers; longer ones than LONG characters are encoded each time.
-REMEMBERED, LONG = 400_000, 200
+REMEMBERED, LONG = 250_000, 200
+
+
+# White space, letters and digits of Latin-1 as the vocabulary's own splitter takes them, lower case.
+_L, _N = "a-zªµº\xdf-\xf6\xf8-\xff", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_N}{_L}]+")
 
 
 class WordEncoder:
-    """The tokenizers library over a vocabulary that drops white space: each run of other characters is encoded
-    by the library once and remembered, which gives the same ids as encoding the whole text."""
+    """The tokenizers library over a vocabulary that drops white space.
+
+    Latin-1 texts are lower-cased and cut as the vocabulary's normalizer and splitter do, and the library's model
+    encodes each new word once; other texts, and those that may hold added tokens, go through the library whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        self.as_bytes = {i: "".join(stand_in[b] for b in chr(i).encode()) for i in range(256)}
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.cut(text) for text in texts]
         if len(self.words) > REMEMBERED:
             self.words = {}
+        split = [self.cut(text) for text in texts]
         known = self.words
-        new = list({w for words in split for w in words if w not in known})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        new = list({w for words in split if words for w in words if w not in known})
+        found: dict[str, bytes] = {}
+        for word in new:
+            ids = []
+            for part in _PARTS.findall(word):
+                if part not in found:
+                    found[part] = array("I", [t.id for t in self.model.tokenize(part.translate(self.as_bytes))]).tobytes()
+                ids.append(found[part])
+            known[word] = b"".join(ids)
+        out = [self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
+               for text, words in zip(texts, split)]
         for word in new:
             if len(word) > LONG:
                 del known[word]
         return out
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     @staticmethod
-    def cut(text: str) -> list[str]:
-        """Latin-1 without U+001C-U+001F: cut at white space, lower-cased, as the vocabulary does both; else whole."""
+    def cut(text: str) -> list[str] | None:
+        """Words of a Latin-1 text, lower-cased; None for texts that the library has to see whole."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return [text]
+            return None
         if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return [text]
+            return None
         return text.lower().split()
 
 
