@@ -37,6 +37,8 @@ _FLIP = np.uint64(1 << 63)
 #: Answers about a trigger: its phrase is one and the same everywhere, and here first or not; or phrases differ.
 ONE_FIRST, ONE_LATER, DIFFER, DIFFER_HERE = range(4)
 _MIXED = np.uint64(0)
+#: Triggers are sent without their 16 low bits; two that fall together only count as one whose phrases differ.
+_16 = np.uint64(16)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -125,10 +127,10 @@ class Parse:
         return np.minimum.reduceat(ids[self.doc[self.order]], self.firsts) if len(self.firsts) else np.zeros(0, dtype=np.int64)
 
     def phrase(self) -> np.ndarray:
-        """Hash of the phrase of each distinct trigger, 40 bits and not 0; 0 if the chunk has several."""
+        """Hash of the phrase of each distinct trigger, 32 bits and not 0; 0 if the chunk has several."""
         if not len(self.firsts):
             return np.zeros(0, dtype=np.uint64)
-        code = (self.rolling.of(self.start, self.start + self.count + LENGTH - 1) >> np.uint64(24)) | np.uint64(1)
+        code = (self.rolling.of(self.start, self.start + self.count + LENGTH - 1) >> np.uint64(32)) | np.uint64(1)
         code = code[self.order]
         low, high = np.minimum.reduceat(code, self.firsts), np.maximum.reduceat(code, self.firsts)
         return np.where(low == high, low, _MIXED)
@@ -151,14 +153,14 @@ def ask_triggers(chunks: DataFrame) -> DataFrame:
         for row in ex.rows_of(batches):
             parse = Parse(row["body"], np.array(row["sizes"], dtype=np.int64))
             least, phrase = as_key(parse.least_doc(chunk_ids(row["rest"]))), parse.phrase()
-            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((parse.distinct[i:j], 8), (phrase[i:j], 5), (least[i:j], 8)))
+            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((parse.distinct[i:j] >> _16, 6), (phrase[i:j], 4), (least[i:j], 8)))
                                                 for b, i, j in ex.ranges(parse.distinct, n)])
 
     return chunks.select("chunk", "body", "sizes", "rest").mapInArrow(run, ex.ENTRIES)
 
 
 def settle_triggers(lists: list[bytes]) -> list[bytes]:
-    (trigger, phrase, least), lengths = ex.joined_lists(lists, 8, 5, 8)
+    (trigger, phrase, least), lengths = ex.joined_lists(lists, 6, 4, 8)
     order = np.argsort(trigger, kind="stable")
     firsts = ex.group_starts(trigger[order])
     sizes = np.diff(np.r_[firsts, len(trigger)])
@@ -172,47 +174,50 @@ def settle_triggers(lists: list[bytes]) -> list[bytes]:
     return ex.per_list(code, lengths)
 
 
-def ask_suffixes(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Lists of the suffixes of unsettled phrases, and in bucket -1 what each chunk knows: runs of bytes to remove, and
-    the places of strings that wait for an answer, in the order of the lists."""
+class Known:
+    """What a chunk knows after the answers about its triggers.
+
+    start, stop: runs of bytes to remove; keys, least: the suffixes to ask about, in order, and their least id here;
+    place, number: the strings that wait for an answer, and which of the keys they wait for.
+    """
+
+    def __init__(self, row: dict):
+        ids, parse = chunk_ids(row["rest"]), Parse(row["body"], np.array(row["sizes"], dtype=np.int64))
+        code = np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["answers"]])[parse.number]
+        later = ids[parse.doc] > parse.least_doc(ids)[parse.number]
+        sure = (code == ONE_LATER) | ((code == ONE_FIRST) & later)
+        unsettled = np.flatnonzero(code >= DIFFER)
+        counts = parse.count[unsettled]
+        inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.repeat(parse.start[unsettled], counts) + inner
+        shared = np.repeat(code[unsettled] == DIFFER, counts)
+        doc = ids[np.repeat(parse.doc[unsettled], counts)]
+        suffix = parse.rolling.of(place, place + LENGTH)
+        order = np.argsort(suffix, kind="stable")
+        suffix, place, shared, doc = suffix[order], place[order], shared[order], doc[order]
+        firsts = ex.group_starts(suffix)
+        sizes = np.diff(np.r_[firsts, len(suffix)])
+        least = np.minimum.reduceat(doc, firsts) if len(firsts) else doc
+        again = doc > np.repeat(least, sizes)
+        asked = shared[firsts]  # equal strings have equal triggers, hence equal codes
+        waiting = np.repeat(asked, sizes) & ~again
+        self.start = np.r_[parse.start[sure], place[again]]
+        self.stop = np.r_[(parse.start + parse.count + LENGTH - 1)[sure], place[again] + LENGTH]
+        self.keys, self.least = suffix[firsts][asked], as_key(least[asked])
+        self.place, self.number = place[waiting], np.repeat(np.cumsum(asked) - 1, sizes)[waiting]
+
+
+def ask_suffixes(chunks: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Lists of the suffixes of unsettled phrases."""
     n = ex.n_ranges(chunks)
 
     def run(batches):
         for row in ex.rows_of(batches):
-            ids, parse = chunk_ids(row["rest"]), Parse(row["body"], np.array(row["sizes"], dtype=np.int64))
-            if not len(parse.start):
-                continue
-            code = np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["answers"]])[parse.number]
-            later = ids[parse.doc] > parse.least_doc(ids)[parse.number]
-            sure = (code == ONE_LATER) | ((code == ONE_FIRST) & later)
-            start, stop = [parse.start[sure]], [(parse.start + parse.count + LENGTH - 1)[sure]]
-            open_phrases = np.flatnonzero(code >= DIFFER)
-            counts = parse.count[open_phrases]
-            inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = np.repeat(parse.start[open_phrases], counts) + inner
-            shared = np.repeat(code[open_phrases] == DIFFER, counts)
-            doc = ids[np.repeat(parse.doc[open_phrases], counts)]
-            suffix = parse.rolling.of(place, place + LENGTH)
-            order = np.argsort(suffix, kind="stable")
-            suffix, place, shared, doc = suffix[order], place[order], shared[order], doc[order]
-            firsts = ex.group_starts(suffix)
-            sizes = np.diff(np.r_[firsts, len(suffix)])
-            least = np.minimum.reduceat(doc, firsts) if len(firsts) else doc
-            again = doc > np.repeat(least, sizes)
-            start.append(place[again])
-            stop.append(place[again] + LENGTH)
-            asked = shared[firsts]  # equal strings have equal triggers, hence equal codes
-            waiting = np.repeat(asked, sizes) & ~again
-            number = np.repeat(np.cumsum(asked) - 1, sizes)
-            keys, least = suffix[firsts][asked], as_key(least[asked])
-            start, stop = np.concatenate(start), np.concatenate(stop)
-            known = ex.pack_columns((start, 8), (stop, 8))
-            held = ex.pack_columns((place[waiting], 8), (number[waiting], 8))
-            rows = [(-1, len(known).to_bytes(8, "little") + known + held)]
-            rows += [(b, ex.pack_columns((keys[i:j], 8), (least[i:j], 8))) for b, i, j in ex.ranges(keys, n)]
-            yield ex.entry_batch(row["chunk"], rows)
-
-    return chunks.join(answers, "chunk").select("chunk", "body", "sizes", "rest", "answers").mapInArrow(run, ex.ENTRIES)
+            known = Known(row)
+            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((known.keys[i:j], 8), (known.least[i:j], 8)))
+                                                for b, i, j in ex.ranges(known.keys, n)])
+
+    return chunks.join(triggers, "chunk").select("chunk", "body", "sizes", "rest", "answers").mapInArrow(run, ex.ENTRIES)
 
 
 def settle_suffixes(lists: list[bytes]) -> list[bytes]:
@@ -247,10 +252,8 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """
     docs = docs.drop("kept", "n_bytes", "n_removed", "spans")
     chunks = ex.pack(docs)
-    triggers = ex.answer(ask_triggers(chunks), settle_triggers)
-    asked = staged(ask_suffixes(chunks, triggers), "suffixes")
-    suffixes = ex.answer(asked.where(F.col("bucket") >= 0), settle_suffixes)
-    known = asked.where(F.col("bucket") == -1).select("chunk", F.col("entries").alias("known"))
+    triggers = staged(ex.answer(ask_triggers(chunks), settle_triggers), "triggers")
+    suffixes = ex.answer(ask_suffixes(chunks, triggers), settle_suffixes).withColumnRenamed("answers", "later")
     others = [f for f in docs.schema if f.name != "text"]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*others, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -261,15 +264,14 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
         for row in ex.rows_of(batches):
             body, n = np.frombuffer(row["body"], dtype=np.uint8), len(row["body"])
             gone = np.zeros(n, dtype=bool)
-            if row["known"] is not None:
-                size = int.from_bytes(row["known"][:8], "little")
-                start, stop = ex.unpack_columns(row["known"][8:8 + size], 8, 8)
-                place, number = ex.unpack_columns(row["known"][8 + size:], 8, 8)
-                if row["answers"]:
-                    later = np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["answers"]]) > 0
-                    place = place[later[number.astype(np.int64)]]
-                    start, stop = np.r_[start, place], np.r_[stop, place + np.uint64(LENGTH)]
-                gone = covered(n, start.astype(np.int64), stop.astype(np.int64))
+            if row["answers"] is not None:
+                known = Known(row)
+                start, stop = known.start, known.stop
+                if row["later"] is not None:
+                    later = np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["later"]]) > 0
+                    place = known.place[later[known.number]]
+                    start, stop = np.r_[start, place], np.r_[stop, place + LENGTH]
+                gone = covered(n, start, stop)
             if characters:
                 gone = whole_characters(body, gone)
             at, removed, spans, kept = 0, [], [], []
@@ -284,8 +286,8 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(row["sizes"], type=pa.int64()), pa.array(removed, type=pa.int64()),
                                               pa.array(spans, type=arrow_span), pa.array(kept, type=pa.binary())], names=schema.names)
 
-    return (chunks.join(known, "chunk", "left").join(suffixes, "chunk", "left")
-            .select("chunk", "body", "sizes", "rest", "known", "answers").mapInArrow(run, schema))
+    return (chunks.join(triggers, "chunk", "left").join(suffixes, "chunk", "left")
+            .select("body", "sizes", "rest", "answers", "later").mapInArrow(run, schema))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
