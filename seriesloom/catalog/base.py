@@ -91,7 +91,7 @@ MARKET_SQL = """market0 AS (
 INDEX_SQL = """index_snapshots AS (
  SELECT o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS date,
    CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 101 AS DOUBLE) AS value, o_orderkey
- FROM orders WHERE o_orderpriority = '1-URGENT')"""
+ FROM orders)"""
 
 SYMBOL_SQL = """symbol0 AS (
  SELECT CASE o_orderstatus WHEN 'F' THEN 'ETH' WHEN 'O' THEN 'SOL' WHEN 'P' THEN 'BTC' END AS crypto_symbol,

@@ -209,6 +209,6 @@ query("profit_and_dates", f"""SELECT o_orderkey, {rs('(o_totalprice - b) / nulli
  FROM (SELECT *, CAST(o_orderkey % 5 AS DOUBLE) AS b FROM orders)""")(
     lambda s, sf: fx.table(s, sf, "orders").select("o_orderkey", r(S.profit_pct("o_totalprice", (F.col("o_orderkey") % 5).cast("double"))).alias("profit_pct"),
                                                    S.day_text("o_orderdate").alias("day")))
-query("seeded_sample")(lambda s, sf: L.seeded_sample(fx.table(s, sf, "customer").select("c_custkey"), ["c_custkey"], 200))
+query("seeded_sample", "SELECT c_custkey FROM customer ORDER BY md5(c_custkey || '|42'), c_custkey LIMIT 200")(lambda s, sf: L.seeded_sample(fx.table(s, sf, "customer").select("c_custkey"), ["c_custkey"], 200))
 query("rank_cutoff", f"WITH {COLLECTIONS_SQL} SELECT id FROM collections WHERE id <= 100 AND x_page IS NOT NULL AND x_page <> ''")(
     lambda s, sf: fx.collections(s, sf).filter((F.col("id") <= 100) & F.col("x_page").isNotNull() & (F.col("x_page") != "")).select("id"))

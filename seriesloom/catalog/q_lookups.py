@@ -99,7 +99,7 @@ add("missing_days", f"""WITH {panel_sql('p_brand')}, sp AS (SELECT collection_id
 add("daily_insert_count", f"WITH {_ORDERS} SELECT DATE '{ON}' AS date, count(*) AS n FROM orders_d WHERE date = DATE '{ON}'")(
     lambda s, sf: R.daily_insert_check(_orders(s, sf), ON))
 add("daily_insert_names", f"WITH {RAW_SQL} SELECT DISTINCT slug FROM raw WHERE date = DATE '{ON}'")(
-    lambda s, sf: fx.raw_prices(s, sf).filter(F.col("date") == F.lit(ON)).select("slug").distinct())
+    lambda s, sf: L.names_inserted(fx.raw_prices(s, sf), ON))
 add("table_coverage", f"""WITH {_ORDERS}, t AS (
  SELECT 'main' AS table_name, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM orders_d WHERE date >= DATE '1998-01-01'
  UNION ALL SELECT 'archive', count(*), min(date), max(date) FROM orders_d WHERE date < DATE '1998-01-01')
@@ -107,10 +107,9 @@ add("table_coverage", f"""WITH {_ORDERS}, t AS (
     lambda s, sf: R.table_coverage(_orders(s, sf).filter("date >= DATE '1998-01-01'"),
                                    _orders(s, sf).filter("date < DATE '1998-01-01'")))
 add("history_with_archive", f"WITH {_ORDERS} SELECT * FROM orders_d")(
-    lambda s, sf: _orders(s, sf).filter("date >= DATE '1998-01-01'").unionByName(
-        _orders(s, sf).filter("date < DATE '1998-01-01'")))
+    lambda s, sf: L.with_archive(_orders(s, sf).filter("date >= DATE '1998-01-01'"), _orders(s, sf).filter("date < DATE '1998-01-01'")))
 add("distinct_pair_count", "SELECT count(*) AS pairs FROM (SELECT DISTINCT p_name, p_brand FROM part)")(
-    lambda s, sf: fx.collections(s, sf).agg(F.count_distinct("slug", "chain").alias("pairs")))
+    lambda s, sf: L.pair_count(fx.collections(s, sf)))
 add("volume_usd_30d", f"""WITH {panel_sql('p_brand')} SELECT collection_identifier, chain,
  {rs('sum(floor_usd / floor_native * sale_volume_native_24h)', 4)} AS volume_usd FROM panel WHERE date >= DATE '{AS_OF}' - 30 GROUP BY 1, 2""")(
     lambda s, sf: L.volume_usd(fx.panel(s, sf), AS_OF).withColumn("volume_usd", r("volume_usd", 4)))
@@ -123,8 +122,7 @@ add("first_snapshot_of_day", """SELECT event_type, CAST(ts AS DATE) AS date, fir
                                  ["event_type"], "ts", ["event_id"]).drop("event_id"))
 add("symbols_missing", """SELECT * FROM (VALUES ('signup'), ('view'), ('refund')) v(symbol)
  WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events)""")(
-    lambda s, sf: s.createDataFrame([("signup",), ("view",), ("refund",)], "symbol string").join(
-        fx.table(s, sf, "events").select(F.col("event_type").alias("symbol")).distinct(), "symbol", "left_anti"))
+    lambda s, sf: L.symbols_missing(fx.table(s, sf, "events"), ["signup", "view", "refund"], "event_type"))
 add("symbols_available", """SELECT DISTINCT event_type AS symbol FROM events WHERE event_type IN ('signup', 'view', 'refund')""")(
     lambda s, sf: s.createDataFrame([("signup",), ("view",), ("refund",)], "symbol string").intersect(
         fx.table(s, sf, "events").select(F.col("event_type").alias("symbol"))))
@@ -143,8 +141,8 @@ add("sentiment_ranking", f"""WITH {LATEST_SENT}
  (SELECT 'highest' AS side, slug, chain, sentiment_score FROM latest ORDER BY sentiment_score DESC, slug, chain LIMIT 5)
  UNION ALL (SELECT 'lowest', slug, chain, sentiment_score FROM latest ORDER BY sentiment_score, slug, chain LIMIT 5)""")(
     lambda s, sf: R.sentiment_ranking(_sent(s, sf)))
-add("sentiment_screen", f"WITH {LATEST_SENT} SELECT slug, community_engagement, volume_activity FROM latest WHERE community_engagement >= 5 AND volume_activity <= 6")(
-    lambda s, sf: L.on_latest_date(_sent(s, sf)).filter("community_engagement >= 5 AND volume_activity <= 6")
+add("sentiment_screen", f"WITH {LATEST_SENT} SELECT slug, community_engagement, volume_activity FROM latest WHERE community_engagement >= 7 AND volume_activity < 5")(
+    lambda s, sf: L.engagement_screen(_sent(s, sf))
     .select("slug", "community_engagement", "volume_activity"))
 add("sentiment_card", f"""WITH {SENT}, l AS (SELECT * FROM sentiment QUALIFY row_number() OVER (PARTITION BY slug, chain ORDER BY date DESC) = 1)
  SELECT slug, chain, date, sentiment_score, sentiment_category, community_engagement, volume_activity,
@@ -185,12 +183,12 @@ _REFRESH = f"""{RAW_SQL}, {COLLECTIONS_SQL}, last AS (SELECT collection_identifi
  best AS (SELECT * FROM latest WHERE ranking <= 20 QUALIFY row_number() OVER (PARTITION BY slug, chain ORDER BY ranking, collection_identifier) = 1),
  handle AS (SELECT slug, chain, max(x_page) AS x_page FROM collections WHERE x_page <> '' GROUP BY 1, 2),
  ranked AS (SELECT collection_identifier, slug, chain, ranking, x_page FROM best JOIN handle USING (slug, chain) ORDER BY ranking, slug, chain LIMIT 20),
- seen AS (SELECT slug, chain, max(date) AS last_analysis FROM raw WHERE ranking <= 30 AND date <= DATE '{AS_OF}' AND floor_native IS NULL GROUP BY 1, 2),
+ seen AS (SELECT slug, chain, max(date) AS last_analysis FROM raw WHERE date <= DATE '{AS_OF}' GROUP BY 1, 2),
  cand AS (SELECT ranked.*, last_analysis, last_analysis IS NULL OR last_analysis <= DATE '{AS_OF}' - 30 AS stale FROM ranked LEFT JOIN seen USING (slug, chain))"""
 
 
 def _seen(s, sf):
-    return fx.raw_prices(s, sf).filter(F.col("ranking") <= 30).filter(F.col("date") <= F.lit(AS_OF)).filter("floor_native IS NULL")
+    return fx.raw_prices(s, sf).filter(F.col("date") <= F.lit(AS_OF))
 
 
 add("rows_at_latest_date", f"WITH {_REFRESH} SELECT collection_identifier, slug, chain, date, cents FROM latest")(
@@ -202,9 +200,9 @@ add("ranked_with_handle", f"WITH {_REFRESH} SELECT * FROM ranked")(
 add("refresh_candidates", f"""WITH {_REFRESH}, names AS (SELECT slug, chain, min(name) AS name FROM collections GROUP BY 1, 2)
  SELECT cand.*, coalesce(name, slug) AS display_name FROM cand LEFT JOIN names USING (slug, chain) WHERE stale""")(
     lambda s, sf: R.refresh_candidates(fx.raw_prices(s, sf), fx.collections(s, sf), _seen(s, sf), AS_OF, 20))
-add("refresh_status_shares", f"WITH {_REFRESH} SELECT stale, count(*) AS n FROM cand GROUP BY 1")(
-    lambda s, sf: L.with_last_analysis(L.ranked_with_handle(fx.raw_prices(s, sf), fx.collections(s, sf), 20), _seen(s, sf), AS_OF)
-    .groupBy("stale").agg(F.count("*").alias("n")))
+add("refresh_status_shares", f"WITH {_REFRESH} SELECT stale, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM cand), 1) AS pct FROM cand GROUP BY 1")(
+    lambda s, sf: L.refresh_shares(L.with_last_analysis(
+        L.ranked_with_handle(fx.raw_prices(s, sf), fx.collections(s, sf), 20), _seen(s, sf), AS_OF)))
 add("display_names", f"""WITH {RAW_SQL}, {COLLECTIONS_SQL}, names AS (SELECT slug, chain, min(name) AS name FROM collections WHERE id % 2 = 0 GROUP BY 1, 2)
  SELECT p.slug, p.chain, coalesce(name, p.slug) AS display_name FROM (SELECT DISTINCT slug, chain FROM raw) p LEFT JOIN names USING (slug, chain)""")(
     lambda s, sf: L.display_names(fx.raw_prices(s, sf).select("slug", "chain").distinct(), fx.collections(s, sf).filter("id % 2 = 0")))

@@ -21,13 +21,16 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, colum
     A key may own a large share of all rows, so a series is never gathered: rows are windowed
     inside (key, chunk of time), and the value carried into a chunk comes from a window over
     one summary row per chunk, whose number the calendar bounds. ``tie`` orders right rows of
-    equal time (the greatest wins).
+    equal time (the greatest wins). A left row with a NULL key or time finds nothing.
     """
     value = F.struct(F.col(ts).alias("asof_ts"), *columns)
+    for c in (*keys, ts):  # NULL equals nothing
+        right = right.filter(F.col(c).isNotNull())
+    tie_type = right.schema[tie].dataType
     lcols = [c for c in left.columns if c not in keys]
-    l = left.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"),
+    l = left.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(tie_type).alias("_tie"),
                     F.struct(*lcols).alias("_row"))
-    rr = right.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"),
+    rr = right.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"),
                       value.alias("_val"))
     both = l.unionByName(rr, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "_ts"))
 

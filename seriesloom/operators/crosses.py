@@ -26,11 +26,12 @@ def above(short: Column, long: Column) -> Column:
 def price_series(panel: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Native and USD prices as separate series per (slug, chain), known prices only.
 
-    ``pairs`` restricts to the (slug, chain) pairs of the metadata. ``panel`` holds one row per
-    (slug, chain, date).
+    ``pairs`` restricts to the (slug, chain) pairs of the metadata. Several identifiers may share a
+    slug: its price of a day is the lowest of theirs, and so is its rank.
     """
     if pairs is not None:
         panel = panel.join(pairs.select("slug", "chain").distinct(), ["slug", "chain"], "left_semi")
+    panel = panel.groupBy("slug", "chain", "date").agg(*[F.min(c).alias(c) for c in ("floor_native", "floor_usd", "ranking")])
     both = panel.select(
         "slug", "chain", "date", S.day_number("date").alias("day"), "floor_native", "floor_usd", "ranking",
         F.explode(F.array(
@@ -136,7 +137,7 @@ def with_post_quota(alerts: DataFrame, quota: int = 5) -> DataFrame:
 
     A top-k of the key columns decides (no global window); the rest is carried to the next run.
     """
-    keys = ["date", "slug", "chain", "ma_short_period", "ma_long_period"]
+    keys = CROSS_KEY
     now = (alerts.filter(~F.col("x_sent")).select(*keys).distinct()
            .orderBy(*keys).limit(quota).withColumn("post_now", F.lit(True)))
     return (alerts.join(F.broadcast(now), keys, "left")
@@ -161,8 +162,8 @@ def recap(crosses: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def mark_delivered(crosses: DataFrame, delivered: DataFrame, flag: str) -> DataFrame:
-    """Set a delivery flag on the crossovers whose key is in ``delivered``."""
-    keys = ["slug", "date", "ma_short_period", "ma_long_period"]
+    """Set a delivery flag on the crossovers whose whole key is in ``delivered``."""
+    keys = CROSS_KEY
     done = delivered.select(*keys).distinct().withColumn("_done", F.lit(True))
     return (crosses.join(done, keys, "left")
                    .withColumn(flag, F.col(flag) | F.coalesce("_done", F.lit(False))).drop("_done")

@@ -43,6 +43,8 @@ def fill_signal(daily: DataFrame, keys: list[str], columns: list[str], reach: in
 
 def market_mood(hype: DataFrame) -> DataFrame:
     """Daily mood with coded sentiment and trend, carried over 7 days."""
+    # one row a day: of several the one of greatest score
+    hype = hype.filter(F.col("date").isNotNull()).groupBy("date").agg(F.max(F.struct("hype_score", "sentiment", "trend")).alias("h")).select("date", "h.*")
     coded = hype.select(F.lit("mood").alias("series"), "date", F.col("hype_score").cast("double").alias("hype_score"),
                         S.mood_code("sentiment").alias("hype_sentiment"), S.trend_code("trend").alias("hype_trend"))
     return fill_signal(coded, ["series"], ["hype_score", "hype_sentiment", "hype_trend"], SIGNAL_REACH).drop("series")
@@ -62,10 +64,15 @@ SYMBOL_FEATURES = ["ret_1d", "ret_7d", "ret_30d", "vol_7d", "ath_pct", "volume_r
 
 
 def symbol_features(daily: DataFrame) -> DataFrame:
-    """Features per (currency symbol, day) on the full calendar between a symbol's first and last day."""
+    """Features per (currency symbol, day) on the full calendar between a symbol's first and last day.
+
+    ``daily`` may hold several snapshots a day (``date`` a timestamp): the first of each day counts.
+    """
     keys = ["crypto_symbol"]
     wanted = sorted({*codes.CHAIN_SYMBOLS.values(), codes.MACRO_SYMBOL})
-    d = daily.filter(F.col("crypto_symbol").isin(wanted)).withColumn("day", S.day_number("date"))
+    values = ["current_price", "total_volume", "market_cap", "ath_change_percentage"]
+    d = daily.filter(F.col("crypto_symbol").isin(wanted) & F.col("date").isNotNull()).select(*keys, F.col("date").alias("ts"), *values)
+    d = first_of_day(d, keys, "ts", values).withColumn("day", S.day_number("date"))
     d = d.select(*keys, "date", "day", S.to_number("current_price").alias("current_price"),
                  S.ratio("total_volume", F.nullif(F.col("market_cap").cast("double"), F.lit(0.0))).alias("volume_rel"),
                  S.to_number("ath_change_percentage").alias("ath_pct"))

@@ -87,6 +87,27 @@ def pairs_with_metadata(meta: DataFrame) -> DataFrame:
     return meta.select("slug", "chain").distinct()
 
 
+def pair_count(meta: DataFrame) -> DataFrame:
+    """Number of distinct (slug, chain) pairs."""
+    return meta.agg(F.count_distinct("slug", "chain").alias("pairs"))
+
+
+def names_inserted(prices: DataFrame, on: dt.date) -> DataFrame:
+    """Names with a row on a date."""
+    return prices.filter(F.col("date") == F.lit(on)).select("slug").distinct()
+
+
+def with_archive(main: DataFrame, archive: DataFrame) -> DataFrame:
+    """The whole history: current rows and archived ones."""
+    return main.unionByName(archive)
+
+
+def symbols_missing(df: DataFrame, wanted: list[str], symbol: str = "crypto_symbol") -> DataFrame:
+    """Wanted symbols of which the table holds no row."""
+    names = df.sparkSession.createDataFrame([(w,) for w in wanted], "symbol string")
+    return names.join(df.select(F.col(symbol).alias("symbol")).distinct(), "symbol", "left_anti")
+
+
 def volume_usd(prices: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
     """Sales volume in USD per entity over the last ``days`` days."""
     usd = S.ratio("floor_usd", "floor_native") * F.col("sale_volume_native_24h")
@@ -106,13 +127,18 @@ def top_on_latest(sentiment: DataFrame, n: int, lowest: bool = False) -> DataFra
     return on_latest_date(sentiment).orderBy(order, "slug", "chain").limit(n)
 
 
+def engagement_screen(sentiment: DataFrame, engagement: int = 7, activity: int = 5) -> DataFrame:
+    """Entities of the latest date with strong engagement and little activity yet."""
+    return on_latest_date(sentiment).filter((F.col("community_engagement") >= engagement) & (F.col("volume_activity") < activity))
+
+
 def newest(df: DataFrame, n: int, date: str = "date") -> DataFrame:
     return df.orderBy(F.desc(date)).limit(n)
 
 
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows by a hash of their key: the same rows however the data is partitioned."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *keys, F.lit(seed))), *keys).limit(n)
 
 
 # --- sentiment refresh ----------------------------------------------------------------------
@@ -148,6 +174,13 @@ def with_last_analysis(rows: DataFrame, sentiment: DataFrame, as_of: dt.date, da
     return rows.join(last, ["slug", "chain"], "left").withColumn("stale", stale)
 
 
+def refresh_shares(rows: DataFrame) -> DataFrame:
+    """Number and percentage of candidates that are due for a refresh, and of those that are not."""
+    counts = rows.groupBy("stale").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("pct", F.bround((F.col("n") * 100).cast("double") / total.cast("double"), 1))
+
+
 def display_names(rows: DataFrame, meta: DataFrame) -> DataFrame:
     names = meta.groupBy("slug", "chain").agg(F.min("name").alias("name"))
     return rows.join(names, ["slug", "chain"], "left") \

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -25,21 +27,15 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for checkpoints and staged tables.
+def shared_folder(spark: SparkSession) -> str:
+    """Shared folder for staged tables, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. ``fallback`` is used only where that
-    setting is missing (tests on one machine); without either the caller must not go on.
+    Where that is unset, a session on one machine gets a folder of its own; a cluster must set it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
-
-
-def checkpointed(df, fallback: str | None = None):
-    """Cut the lineage of ``df`` through a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, fallback))
-    return df.checkpoint()

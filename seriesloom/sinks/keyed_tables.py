@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +55,8 @@ def new_rows(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[s
     """Rows to append: the first of each key in the batch that is not stored yet."""
     order = order or [c for c in batch.columns if c not in keys]
     whole = _whole(keys)
-    fresh = batch.join(stored.select(*keys), keys, "left_anti")
-    return first_row(fresh.filter(whole), keys, order).unionByName(fresh.filter(~whole))
+    fresh = batch.filter(whole).join(stored.select(*keys), keys, "left_anti")  # a NULL part never matches
+    return first_row(fresh, keys, order).unionByName(batch.filter(~whole))
 
 
 def new_by_all(stored: DataFrame, batch: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,8 +110,8 @@ def outcome_counts(tagged: DataFrame) -> DataFrame:
 # --- tables ---------------------------------------------------------------------------------
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    fs, jvm_path = _files(spark, path)
+    return fs.exists(jvm_path)
 
 
 def declare(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -131,17 +132,35 @@ def table_checks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def _months(batch: DataFrame, date: str) -> list[dt.date]:
-    """Months of a batch; the calendar bounds their number."""
-    return [r[0] for r in batch.select(F.trunc(date, "month")).distinct().collect()]
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a folder: (file system, path)."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+
+
+def _month_folders(spark: SparkSession, path: str) -> dict[dt.date | None, str]:
+    """The months of a table by its partition folders; None holds the rows without a date."""
+    fs, jvm_path = _files(spark, path)
+    if not fs.exists(jvm_path):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(jvm_path) if s.isDirectory()]
+    values = {n: n.removeprefix(f"{MONTH}=") for n in names if n.startswith(f"{MONTH}=")}
+    return {None if v == "__HIVE_DEFAULT_PARTITION__" else dt.date.fromisoformat(v): f"{path}/{n}" for n, v in values.items()}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, jvm_path = _files(spark, path)
+    fs.delete(jvm_path, True)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType, months: list[dt.date] | None = None) -> DataFrame:
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType, months: list[dt.date | None] | None = None) -> DataFrame:
+    """Rows of a table, or of some months of it; the month None are the rows without a date."""
     if not _path_exists(spark, path):
         return spark.createDataFrame([], schema)
     df = spark.read.schema(T.StructType([*schema.fields, T.StructField(MONTH, T.DateType())])).parquet(path)
     if months is not None:
-        df = df.filter(F.col(MONTH).isin(months))
+        wanted = F.col(MONTH).isin([m for m in months if m is not None])
+        df = df.filter(wanted | F.col(MONTH).isNull() if None in months else wanted)
     return df.select(*schema.names)
 
 
@@ -149,52 +168,70 @@ def _by_month(df: DataFrame, date: str) -> DataFrame:
     return df.withColumn(MONTH, F.trunc(date, "month"))
 
 
+@contextmanager
+def _staged(df: DataFrame, date: str):
+    """``df`` by month in the shared folder, computed once: (frame, months). Removed at the end."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    try:
+        _by_month(df, date).write.partitionBy(MONTH).parquet(folder)
+        months = list(_month_folders(spark, folder))
+        yield stored_rows(spark, folder, df.schema), months
+    finally:
+        _delete(spark, folder)
+
+
 def append_new(batch: DataFrame, path: str, keys: list[str], date: str = "date", order: list[str] | None = None) -> None:
     """Append the rows whose key is not stored; only the batch's months are read."""
-    stored = _stored(batch.sparkSession, path, batch.schema, _months(batch, date))
-    _by_month(new_rows(stored, batch, keys, order), date).write.mode("append").partitionBy(MONTH).parquet(path)
+    spark = batch.sparkSession
+    with _staged(batch, date) as (rows, months):
+        if months:
+            stored = stored_rows(spark, path, batch.schema, months)
+            _by_month(new_rows(stored, rows, keys, order), date).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
-def _rewrite(df: DataFrame, path: str, date: str, fallback: str | None) -> None:
-    """Replace the months present in ``df``, staging them first."""
-    spark = df.sparkSession
-    staged = f"{shared_folder(spark, fallback)}/staged-{uuid.uuid4().hex}"
-    _by_month(df, date).write.parquet(staged)
-    (spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-          .partitionBy(MONTH).parquet(path))
+def _replace_months(rows: DataFrame, path: str, date: str) -> None:
+    """Swap in the months of ``rows``, which are staged and do not depend on the table."""
+    (_by_month(rows, date).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(MONTH).parquet(path))
 
 
-def upsert(batch: DataFrame, path: str, keys: list[str], order: str, date: str = "date",
-           fallback: str | None = None) -> None:
+def upsert(batch: DataFrame, path: str, keys: list[str], order: str, date: str = "date") -> None:
     """Insert or replace by key, rewriting only the months of the batch. ``date`` is part of the key."""
-    stored = _stored(batch.sparkSession, path, batch.schema, _months(batch, date))
-    _rewrite(merged(stored, batch, keys, order), path, date, fallback)
+    spark = batch.sparkSession
+    with _staged(batch, date) as (rows, months):
+        if months:
+            stored = stored_rows(spark, path, batch.schema, months)
+            with _staged(merged(stored, rows, keys, order), date) as (result, _):
+                _replace_months(result, path, date)
 
 
 def archive_move(spark: SparkSession, main: str, archive: str, schema: T.StructType, keys: list[str],
-                 run_date: dt.date, days: int = 365, date: str = "date", fallback: str | None = None):
-    """Move old rows; they are in the archive before they leave the main table. Returns (count, cutoff)."""
+                 run_date: dt.date, days: int = 365, date: str = "date"):
+    """Move old rows; they are in the archive before they leave the main table. Returns (count, cutoff).
+
+    The months come from the table's folders. Rows without a date stay where they are.
+    """
     cutoff = run_date - dt.timedelta(days=days)
-    full = [m for m in _months(_stored(spark, main, schema), date) if m <= cutoff]
-    table = _stored(spark, main, schema, full)
-    keep, moving, report = archive_split(table, _stored(spark, archive, schema), keys, run_date, days, date)
+    folders = {m: f for m, f in _month_folders(spark, main).items() if m is not None and m <= cutoff}
+    table = stored_rows(spark, main, schema, list(folders))
+    keep, moving, report = archive_split(table, stored_rows(spark, archive, schema), keys, run_date, days, date)
     count = report.first()["archived_count"]
     if count:
         append_new(moving, archive, keys, date)
-        staying = f"{shared_folder(spark, fallback)}/staged-{uuid.uuid4().hex}"
-        _by_month(keep, date).write.parquet(staying)
-        kept = spark.read.parquet(staying)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(main)
-        left = {r[0] for r in kept.select(MONTH).distinct().collect()}
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        for m in full:
-            if m not in left:
-                p = fs_path(f"{main}/{MONTH}={m.isoformat()}")
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        with _staged(keep, date) as (kept, left):
+            if left:
+                _replace_months(kept, main, date)
+        for month, folder in folders.items():
+            if month not in left:
+                _delete(spark, folder)
     return count, cutoff
 
 
 def write_panel(df: DataFrame, path: str, keys: list[str], date: str = "date") -> None:
-    """Store a panel by month, each file sorted by entity and date."""
-    _by_month(df, date).repartition(MONTH, *keys).sortWithinPartitions(*keys, date) \
-        .write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    """Store a panel by month in place of the one before, each file sorted by entity and date.
+
+    Rows are dealt by ranges of (month, entity), so a month has few files and a large one several.
+    """
+    (_by_month(df, date).repartitionByRange(MONTH, *keys).sortWithinPartitions(MONTH, *keys, date)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(MONTH).parquet(path))

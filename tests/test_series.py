@@ -165,3 +165,13 @@ def test_incomplete_days_without_a_full_one(spark):
     got = sorted(r.date.day for r in C.incomplete_days(df, 1, dt.date(2024, 1, 1)).collect())
     assert got == [2]
     assert C.incomplete_days(df, 9, dt.date(2024, 1, 1)).count() == 0
+
+
+def test_null_keys_and_times_find_nothing_and_text_may_break_ties(spark):
+    from seriesloom.operators.asof import asof_join
+    at = [dt.datetime(2024, 1, 1, h) for h in range(4)]
+    left = spark.createDataFrame([(1, "k", at[2]), (2, None, at[2]), (3, "k", None)], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([("k", at[1], 1.0, "a"), ("k", at[1], 2.0, "b"), (None, at[1], 3.0, "c"), ("k", None, 4.0, "d")],
+                                  "k string, ts timestamp, v double, t string")
+    got = {r.id: r.v for r in asof_join(left, right, ["k"], "ts", ["v"], "t").collect()}
+    assert got == {1: 2.0, 2: None, 3: None}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,10 +184,15 @@ def test_raw_payload_is_kept_by_date(spark, tmp_path):
 
 
 def test_delivery_flags(spark):
-    c = spark.createDataFrame([("a", dt.date(2024, 1, 1), 20, 50, False, False), ("b", dt.date(2024, 1, 1), 20, 50, False, True)],
-                              "slug string, date date, ma_short_period int, ma_long_period int, telegram_sent boolean, x_sent boolean")
-    got = {r.slug: (r.telegram_sent, r.x_sent) for r in X.mark_delivered(c, c.filter("slug = 'a'"), "x_sent").collect()}
-    assert got == {"a": (False, True), "b": (False, True)}
+    day = dt.date(2024, 1, 1)
+    c = spark.createDataFrame([("a", "eth", day, True, 20, 50, False, False), ("a", "sol", day, True, 20, 50, False, False),
+                               ("a", "eth", day, False, 20, 50, False, False), ("b", "eth", day, True, 20, 50, False, True)],
+                              "slug string, chain string, date date, is_native boolean, ma_short_period int, ma_long_period int, "
+                              "telegram_sent boolean, x_sent boolean")
+    done = c.filter("slug = 'a' AND chain = 'eth' AND is_native")
+    got = {(r.slug, r.chain, r.is_native): (r.telegram_sent, r.x_sent) for r in X.mark_delivered(c, done, "x_sent").collect()}
+    assert got == {("a", "eth", True): (False, True), ("a", "sol", True): (False, False), ("a", "eth", False): (False, False),
+                   ("b", "eth", True): (False, True)}
 
 
 @pytest.mark.parametrize("value,date,clock", [(TS, "2024-02-01", "00:00"), (TS * 1000 + 60_000, "2024-02-01", "00:01"), (None, None, None),
@@ -195,3 +201,37 @@ def test_epochs(spark, value, date, clock):
     from seriesloom.functions import scalars as S
     r = spark.createDataFrame([(value,)], "e bigint").select(S.epoch_date("e").alias("d"), S.epoch_clock("e").alias("c")).first()
     assert (r.d.isoformat() if r.d else None, r.c) == (date, clock)
+
+
+def test_upsert_keeps_rows_without_a_date(spark, tmp_path):
+    path = str(tmp_path / "nodate")
+    for k in ("a", "b"):
+        KT.upsert(spark.createDataFrame([(k, None, 1)], ROWS), path, ["k", "date"], "v")
+    KT.upsert(spark.createDataFrame([("b", None, 5)], ROWS), path, ["k", "date"], "v")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 5)]
+
+
+def test_archive_leaves_rows_without_a_date_and_no_staged_folder(spark, tmp_path):
+    main, archive = str(tmp_path / "m"), str(tmp_path / "a")
+    df = rows(spark, ("a", 1, 1, 1), ("b", 4, 15, 2)).union(spark.createDataFrame([("n", None, 3)], ROWS))
+    KT.upsert(df, main, ["k", "date"], "v")
+    assert KT.archive_move(spark, main, archive, df.schema, ["k", "date"], dt.date(2024, 4, 20), days=10)[0] == 1
+    assert sorted(r.k for r in spark.read.parquet(main).collect()) == ["b", "n"]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [f for f in os.listdir(folder) if f.startswith("staged-")]
+
+
+def test_a_new_panel_replaces_all_months_of_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "panel2")
+    KT.write_panel(rows(spark, ("a", 1, 1, 1), ("a", 2, 1, 2)), path, ["k"])
+    KT.write_panel(rows(spark, ("a", 2, 1, 3)), path, ["k"])
+    assert content(spark, path) == [("a", dt.date(2024, 2, 1), 3)]
+
+
+def test_landed_rows_without_a_whole_key_are_left_out(spark, tmp_path):
+    landing, table, cp = tmp_path / "landing2", str(tmp_path / "table2"), str(tmp_path / "cp2")
+    landing.mkdir()
+    nameless = {**item("x", TS), "collectionIdentifier": None, "collection_identifier": None, "identifier": None, "id": None}
+    (landing / "1.json").write_text("\n".join(json.dumps(x) for x in (item("a", TS), nameless)))
+    ingest_landed(spark, str(landing), table, cp, None)
+    assert all(r.collection_identifier is not None and r.chain is not None for r in spark.read.parquet(table).collect())
