@@ -14,15 +14,17 @@ from seriesloom.operators import model as ML
 from seriesloom.operators.labels import add_labels
 from seriesloom.plans import reports as R
 
-# Few and shallow trees keep the check quick; the rows are all there.
+# Few and shallow trees: a round takes about a second here, and 400 of them for each of 13 fits would take hours.
+# All rows and all five folds are there.
 QUICK = ML.TreeSettings(rounds=5, depth=3, step=0.3)
 
 _FOLDS = f"""WITH {panel_sql('p_type')}, s AS (SELECT min(date) AS lo, max(date) AS hi FROM panel),
  step AS (SELECT lo, hi, greatest(30, (hi - lo - 180) // 5) AS st FROM s),
  f AS (SELECT CAST(i + 1 AS INTEGER) AS fold, CAST(lo + CAST(180 + i * st AS INTEGER) AS DATE) AS train_end,
   CAST(lo + CAST(180 + (i + 1) * st AS INTEGER) AS DATE) AS test_end, hi FROM step, range(5) r(i))
- SELECT fold, train_end, test_end, (SELECT count(*) FROM panel WHERE date <= train_end) AS n_train,
-  (SELECT count(*) FROM panel WHERE date > train_end AND date <= test_end) AS n_test FROM f WHERE test_end <= hi"""
+ SELECT *, CASE WHEN n_train >= 100 AND n_test >= 10 THEN 'used' ELSE 'few rows' END AS status FROM (
+  SELECT fold, train_end, test_end, (SELECT count(*) FROM panel WHERE date <= train_end) AS n_train,
+   (SELECT count(*) FROM panel WHERE date > train_end AND date <= test_end) AS n_test FROM f WHERE test_end <= hi)"""
 
 
 @query("walk_forward_folds", _FOLDS)
@@ -48,12 +50,12 @@ def signals_three_way(spark, sf):
 
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf):
-    return ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 2, QUICK)
+    return ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 5, QUICK)
 
 
 @query("cv_means")
 def cv_means(spark, sf):
-    return ML.cv_means(ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 2, QUICK))
+    return ML.cv_means(ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 5, QUICK))
 
 
 @query("feature_importance")
