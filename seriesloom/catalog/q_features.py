@@ -14,6 +14,7 @@ from seriesloom.operators import features as FE
 from seriesloom.operators import keyed as K
 from seriesloom.operators import moves as M
 from seriesloom.operators.joins import calendar_rows, left_join_bounded
+from seriesloom.session import stored
 
 KEY = "l_suppkey"
 MIN_DAYS = 60
@@ -158,7 +159,8 @@ def full_panel(spark, sf, key=KEY, **kw):
     kw["signal_days"] = calendar_rows(fx.table(spark, sf, "orders"), "o_orderdate") + 1
     if kw.get("lookback_days"):
         kw["newest"] = fx.table(spark, sf, "lineitem").agg(F.to_date(F.max("l_shipdate"))).first()[0]
-    return FE.feature_panel(fx.panel(spark, sf, key, ranked=True), fx.market_daily(spark, sf),
+    # The price rows are stored first: choosing canonical ids, the newest day and the panel each read them.
+    return FE.feature_panel(stored(fx.panel(spark, sf, key, ranked=True), "prices"), fx.market_daily(spark, sf),
                             fx.entity_sentiment(spark, sf, key), fx.index_snapshots(spark, sf),
                             fx.symbol_daily(spark, sf), index_tie=["o_orderkey"], **kw)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,26 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
+def stored(df, name: str):
+    """``df`` written to the shared folder and read again, for plans that use it several times.
+
+    The folder is removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the JVM has gone already; the cluster's own clean-up has to do it
+        pass
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Shared folder for staged tables, as the cluster names it in ``spark.checkpoint.dir``.
 
