@@ -109,14 +109,21 @@ def coin_rows(items: DataFrame, taken_at: Column, item: str = "item") -> DataFra
         i["last_updated"].alias("last_updated"))
 
 
-def index_rows(payload: DataFrame, taken_at: Column, data: str = "data") -> DataFrame:
-    """First element of ``data``; payloads without a value or a class are rejected."""
+def usable(rows: DataFrame, good: Column, outcomes: bool) -> DataFrame:
+    """The good rows; or all of them with an ``outcome`` (usable, error), for the run report."""
+    if outcomes:
+        return rows.withColumn("outcome", F.when(F.coalesce(good, F.lit(False)), "usable").otherwise("error"))
+    return rows.filter(good)
+
+
+def index_rows(payload: DataFrame, taken_at: Column, data: str = "data", outcomes: bool = False) -> DataFrame:
+    """First element of ``data``; payloads without a value or a class are rejected (see ``usable``)."""
     first = F.try_element_at(F.col(data), F.lit(1))
     rows = payload.select(
         F.date_trunc("hour", taken_at).alias("date"), S.to_number(first["value"]).alias("value"),
         S.blank_to_null(first["value_classification"]).alias("value_classification"),
         first["timestamp"].alias("api_timestamp"))
-    return rows.filter(F.col("value").isNotNull() & F.col("value_classification").isNotNull())
+    return usable(rows, F.col("value").isNotNull() & F.col("value_classification").isNotNull(), outcomes)
 
 
 # --- replies --------------------------------------------------------------------------------
@@ -137,17 +144,17 @@ def _typed(schema: str) -> str:
     return ", ".join(":".join(field.split()) for field in schema.split(","))
 
 
-def market_replies(texts: DataFrame, text: str, date: str) -> DataFrame:
-    """Market mood rows of parsed replies with the defaults of missing fields."""
+def market_replies(texts: DataFrame, text: str, date: str, outcomes: bool = False) -> DataFrame:
+    """Market mood rows of parsed replies with the defaults of missing fields; others are rejected (see ``usable``)."""
     fields = list(codes.MARKET_REPLY_DEFAULTS)
-    rows = texts.withColumn("_r", reply_object(text, schemas.MARKET_REPLY)).filter(F.col("_r").isNotNull())
-    return rows.select(F.col(date).alias("date"), *[S.or_default(F.col(f"_r.{c}"), codes.MARKET_REPLY_DEFAULTS[c]).alias(c)
+    rows = usable(texts.withColumn("_r", reply_object(text, schemas.MARKET_REPLY)), F.col("_r").isNotNull(), outcomes)
+    return rows.select(*["outcome"] * outcomes, F.col(date).alias("date"), *[S.or_default(F.col(f"_r.{c}"), codes.MARKET_REPLY_DEFAULTS[c]).alias(c)
                                                    for c in fields], F.col(text).alias("raw_response"))
 
 
-def entity_replies(texts: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Entity sentiment rows of replies that are one JSON object as a whole."""
+def entity_replies(texts: DataFrame, text: str, keys: list[str], outcomes: bool = False) -> DataFrame:
+    """Entity sentiment rows of replies that are one JSON object as a whole; others are rejected (see ``usable``)."""
     d = codes.ENTITY_REPLY_DEFAULTS
-    rows = texts.withColumn("_r", reply_object(text, schemas.ENTITY_REPLY, strict=True)).filter(F.col("_r").isNotNull())
-    return rows.select(*keys, *[S.or_default(F.col(f"_r.{c}"), v).alias(c) for c, v in d.items()],
+    rows = usable(texts.withColumn("_r", reply_object(text, schemas.ENTITY_REPLY, strict=True)), F.col("_r").isNotNull(), outcomes)
+    return rows.select(*["outcome"] * outcomes, *keys, *[S.or_default(F.col(f"_r.{c}"), v).alias(c) for c, v in d.items()],
                        F.col("_r.summary").alias("summary"), F.col(text).alias("raw_response"))

@@ -235,3 +235,10 @@ def test_landed_rows_without_a_whole_key_are_left_out(spark, tmp_path):
     (landing / "1.json").write_text("\n".join(json.dumps(x) for x in (item("a", TS), nameless)))
     ingest_landed(spark, str(landing), table, cp, None)
     assert all(r.collection_identifier is not None and r.chain is not None for r in spark.read.parquet(table).collect())
+
+
+def test_rejected_payloads_are_told(spark):
+    df = spark.createDataFrame([(1, '{"hype_score": 50}'), (2, "no object")], "k int, t string")
+    for got in (P.market_replies(df, "t", "k", outcomes=True), P.entity_replies(df, "t", ["k"], outcomes=True)):
+        assert sorted(r.outcome for r in got.collect()) == ["error", "usable"]
+    assert P.market_replies(df, "t", "k").count() == 1
