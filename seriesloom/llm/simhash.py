@@ -204,17 +204,22 @@ def node_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+def code_components(codes: DataFrame, bits: int = BITS) -> DataFrame:
+    """_fp, _root: for each of the distinct codes that links to another, the least code of its component."""
+    stars = components(node_links(below_nodes(codes, bits), bits).distinct())
+    return stars.select(F.col("a").alias("_fp"), F.col("b").alias("_root")).unionByName(
+        stars.select(F.col("b").alias("_fp"), F.col("b").alias("_root")).distinct())
+
+
 def grouped(marked: DataFrame, bits: int = BITS) -> DataFrame:
     """``marked`` (staged, with doc_id and _fp) with component_id: the least doc_id that links reach."""
     codes = staged(marked.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "codes")
-    stars = components(node_links(below_nodes(codes, bits), bits).distinct())
-    members = stars.select(F.col("a").alias("_fp"), F.col("b").alias("_root")).unionByName(
-        stars.select(F.col("b").alias("_fp"), F.col("b").alias("_root")).distinct())
-    linked = members.join(codes, "_fp")
+    linked = code_components(codes, bits).join(codes, "_fp")
     least = linked.groupBy("_root").agg(F.min("_first").alias("_least"))
     named = linked.join(least, "_root").select("_fp", "_least")
     ids = codes.join(named, "_fp", "left").select("_fp", F.coalesce("_least", "_first").alias("component_id"))
-    return marked.drop("component_id").join(ids, "_fp")
+    # staged, so that both sides of the join are plain exchanges and Spark can split one fingerprint of many documents
+    return marked.drop("component_id").join(staged(ids, "components"), "_fp")
 
 
 def as_hex(code: Column) -> Column:
