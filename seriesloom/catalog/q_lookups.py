@@ -17,6 +17,7 @@ from seriesloom.operators import crosses as X
 from seriesloom.operators import keyed as K
 from seriesloom.operators import lookups as L
 from seriesloom.plans import reports as R
+from seriesloom.session import stored
 
 AS_OF = dt.date(2001, 6, 30)
 ON = dt.date(1998, 8, 2)
@@ -354,12 +355,12 @@ _POST = f"""name || ' by ' || coalesce(x_page, slug) || ' on #' || chain || ': M
 add("alert_feed", f"""WITH {_ALERTS} SELECT slug, chain, date, send_now, post_now, NOT x_sent AND NOT post_now AS carried_over, {_TEXT} AS alert_text, {_POST} AS post_text FROM alerts""")(
     lambda s, sf: (lambda d: d.select("slug", "chain", "date", "send_now", "post_now", "carried_over",
                                       R.S.alert_text().alias("alert_text"), R.S.post_text().alias("post_text")))(
-        X.with_post_quota(X.enrich_alerts(_stored(s, sf).filter("is_native"), fx.panel(s, sf), fx.brand_metadata(s, sf)))))
+        X.with_post_quota(X.enrich_alerts(stored(_stored(s, sf), "crosses").filter("is_native"), fx.panel(s, sf), fx.brand_metadata(s, sf)))))
 add("pending_alerts", f"""WITH {_FLAGS}, pend AS (SELECT * FROM stored WHERE is_native AND date = DATE '{PEND}' AND (NOT telegram_sent OR NOT x_sent)),
  q AS (SELECT slug FROM pend WHERE NOT x_sent ORDER BY date, slug LIMIT 2)
  SELECT slug, chain, date, NOT telegram_sent AS send_now, NOT x_sent AND slug IN (SELECT slug FROM q) AS post_now,
   NOT x_sent AND slug NOT IN (SELECT slug FROM q) AS carried_over FROM pend""")(
-    lambda s, sf: R.pending_alerts(_stored(s, sf), fx.panel(s, sf), fx.brand_metadata(s, sf), PEND, 2)
+    lambda s, sf: R.pending_alerts(stored(_stored(s, sf), "crosses"), fx.panel(s, sf), fx.brand_metadata(s, sf), PEND, 2)
     .select("slug", "chain", "date", "send_now", "post_now", "carried_over"))
 add("cross_recap", f"""WITH {_CX}, now AS (SELECT slug, chain, floor_native AS cn FROM panel QUALIFY row_number() OVER (PARTITION BY slug, chain ORDER BY date DESC) = 1)
  SELECT c.slug, c.chain, c.date, c.floor_native, cn AS current_floor_native, {rs('(cn - c.floor_native) / c.floor_native * 100')} AS profit_pct,
