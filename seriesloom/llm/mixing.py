@@ -27,6 +27,8 @@ SHARE = 1.5
 MOST = 2.0
 SLICES = 4096
 SEED = 20240607
+#: Sources whose plan may be broadcast (well under 100 bytes each).
+BROADCAST_SOURCES = 100_000
 ADDED = ("size", "source_size", "target", "taken")
 
 
@@ -84,8 +86,11 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``sized`` (see ``measured``; staged, as it is read several times) with source_size, target and taken words."""
     kept = [c for c in sized.columns if c not in ("_key", "_slice")]
-    # the plan has a row for each source: Spark broadcasts it after seeing its size, else it joins by source
-    joined = sized.join(plan(sized, weights, share, most), sized["source"].eqNullSafe(F.col("_source")))
+    # one row for each source; counted before it is broadcast, more of them are joined by source
+    planned = staged(plan(sized, weights, share, most), "plan")
+    if planned.count() <= BROADCAST_SOURCES:
+        planned = F.broadcast(planned)
+    joined = sized.join(planned, sized["source"].eqNullSafe(F.col("_source")))
     whole = joined.where(F.col("_cut").isNull() | (F.col("_slice") != F.col("_cut"))).withColumn(
         "taken", F.col("size") * (F.col("_epochs") + F.when(F.col("_slice") < F.col("_cut"), 1).otherwise(0)))
     before = (Window.partitionBy("source").orderBy("_key", "doc_id", "size")
