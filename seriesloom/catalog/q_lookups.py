@@ -125,8 +125,7 @@ add("symbols_missing", """SELECT * FROM (VALUES ('signup'), ('view'), ('refund')
  WHERE symbol NOT IN (SELECT DISTINCT event_type FROM events)""")(
     lambda s, sf: L.symbols_missing(fx.table(s, sf, "events"), ["signup", "view", "refund"], "event_type"))
 add("symbols_available", """SELECT DISTINCT event_type AS symbol FROM events WHERE event_type IN ('signup', 'view', 'refund')""")(
-    lambda s, sf: s.createDataFrame([("signup",), ("view",), ("refund",)], "symbol string").intersect(
-        fx.table(s, sf, "events").select(F.col("event_type").alias("symbol"))))
+    lambda s, sf: L.symbols_available(fx.table(s, sf, "events"), ["signup", "view", "refund"], "event_type"))
 
 # --- sentiment ------------------------------------------------------------------------------
 

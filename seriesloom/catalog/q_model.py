@@ -13,6 +13,7 @@ from seriesloom.catalog.q_features import full_panel
 from seriesloom.operators import model as ML
 from seriesloom.operators.labels import add_labels
 from seriesloom.plans import reports as R
+from seriesloom.session import stored
 
 # Few and shallow trees: a round takes about a second here, and 400 of them for each of 13 fits would take hours.
 # All rows and all five folds are there.
@@ -38,29 +39,29 @@ def _rows(spark, sf):
 
 @query("signals_binary")
 def signals_binary(spark, sf):
-    rows = _rows(spark, sf).persist()
+    rows = stored(_rows(spark, sf), "labelled")
     return ML.score(ML.train_final(rows, ML.BINARY, None, QUICK), rows)
 
 
 @query("signals_three_way")
 def signals_three_way(spark, sf):
-    rows = _rows(spark, sf).persist()
+    rows = stored(_rows(spark, sf), "labelled")
     return ML.score(ML.train_final(rows, ML.THREE, dt.date(2001, 1, 1), QUICK), rows, dt.date(2001, 6, 30))
 
 
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf):
-    return ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 5, QUICK)
+    return ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5, QUICK)
 
 
 @query("cv_means")
 def cv_means(spark, sf):
-    return ML.cv_means(ML.walk_forward_cv(_rows(spark, sf).persist(), ML.BINARY, 5, QUICK))
+    return ML.cv_means(ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5, QUICK))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    rows = _rows(spark, sf).persist()
+    rows = stored(_rows(spark, sf), "labelled")
     return ML.importance(ML.train_final(rows, ML.BINARY, None, QUICK), rows, ["collection_identifier", "chain", "date"])
 
 
@@ -79,6 +80,6 @@ def _signals(spark, sf):
 query("signal_report", f"WITH {_SIG} SELECT signal, confidence FROM sig WHERE signal = 'BUY' AND confidence >= 0.6 ORDER BY confidence DESC LIMIT 15")(
     lambda spark, sf: R.signal_report(_signals(spark, sf)).select("signal", "confidence"))
 query("signals_confident_buy", f"WITH {_SIG} SELECT collection_identifier, chain, confidence FROM sig WHERE signal = 'BUY' AND confidence >= 0.6")(
-    lambda spark, sf: _signals(spark, sf).filter("signal = 'BUY' AND confidence >= 0.6").drop("signal"))
+    lambda spark, sf: R.confident_buys(_signals(spark, sf), 0.6).drop("signal"))
 query("signal_totals", f"WITH {_SIG} SELECT count(*) AS tracked, count(*) FILTER (signal = 'BUY') AS buy, count(*) FILTER (signal = 'HOLD') AS hold, count(*) FILTER (signal = 'SELL') AS sell FROM sig")(
     lambda spark, sf: R.signal_totals(_signals(spark, sf)))

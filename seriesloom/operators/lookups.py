@@ -102,6 +102,11 @@ def with_archive(main: DataFrame, archive: DataFrame) -> DataFrame:
     return main.unionByName(archive)
 
 
+def symbols_available(df: DataFrame, wanted: list[str], symbol: str = "crypto_symbol") -> DataFrame:
+    """Wanted symbols of which the table holds rows."""
+    return df.filter(F.col(symbol).isin(wanted)).select(F.col(symbol).alias("symbol")).distinct()
+
+
 def symbols_missing(df: DataFrame, wanted: list[str], symbol: str = "crypto_symbol") -> DataFrame:
     """Wanted symbols of which the table holds no row."""
     names = df.sparkSession.createDataFrame([(w,) for w in wanted], "symbol string")

@@ -139,10 +139,14 @@ def chart_data(prices: DataFrame, keys: list[str], as_of: dt.date, days: int, va
     return grid.join(sma, [*keys, "day"], "left")
 
 
+def confident_buys(signals: DataFrame, min_confidence: float) -> DataFrame:
+    """BUY signals of at least a confidence."""
+    return signals.filter((F.col("signal") == "BUY") & (F.col("confidence") >= min_confidence))
+
+
 def signal_report(signals: DataFrame, min_confidence: float = 0.6, top_n: int = 15) -> DataFrame:
     """The best BUY signals."""
-    rows = signals.filter((F.col("signal") == "BUY") & (F.col("confidence") >= min_confidence))
-    return rows.orderBy(F.desc("confidence"), *ENTITY).limit(top_n)
+    return confident_buys(signals, min_confidence).orderBy(F.desc("confidence"), *ENTITY).limit(top_n)
 
 
 def signal_totals(signals: DataFrame) -> DataFrame:
