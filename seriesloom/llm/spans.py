@@ -112,7 +112,8 @@ class Parse:
             start, count = at[:-1], np.diff(at)
             doc = np.searchsorted(ends, start, side="right")
             fine = start + LENGTH <= ends[doc]
-            self.start, self.count, self.doc, self.trigger = start[fine], count[fine], doc[fine], trigger[start[fine]]
+            self.start, self.count, self.doc = start[fine], count[fine], doc[fine]
+            self.trigger = _mix(trigger[start[fine]])  # least hashes lie near 0; mixed again, they fill all ranges evenly
         self.order = np.argsort(self.trigger, kind="stable")
         ordered = self.trigger[self.order]
         self.firsts = ex.group_starts(ordered)
