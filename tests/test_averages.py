@@ -151,8 +151,8 @@ def test_current_crossovers_are_those_of_the_last_row(spark):
 
 
 def test_quota_carries_the_rest_over(spark):
-    rows = [("s%02d" % i, "base", D0, 20, 50, False, i == 0) for i in range(9)]
-    df = spark.createDataFrame(rows, "slug string, chain string, date date, ma_short_period int, ma_long_period int, telegram_sent boolean, x_sent boolean")
+    rows = [("s%02d" % i, "base", D0, True, 20, 50, False, i == 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "slug string, chain string, date date, is_native boolean, ma_short_period int, ma_long_period int, telegram_sent boolean, x_sent boolean")
     got = {r.slug: (r.post_now, r.carried_over) for r in X.with_post_quota(df, 5).collect()}
     assert [s for s, (now, _) in got.items() if now] and sorted(s for s, (now, _) in got.items() if now) == ["s01", "s02", "s03", "s04", "s05"]
     assert sorted(s for s, (_, later) in got.items() if later) == ["s06", "s07", "s08"]
