@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACES = "\t\n\x0b\x0c\r"
+_OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -25,12 +26,13 @@ _MADE: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is missing (one machine, tests) a folder under /tmp/checkpoints is set.
+    Only where that setting is missing (one machine, tests) the application gets a folder below /tmp/checkpoints.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = _OWN.setdefault(spark.sparkContext.applicationId, f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
     return folder.rstrip("/")
 
 
@@ -89,7 +91,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of ``batch`` of up to ``most`` bytes of ``column``; a larger row comes alone."""
     values = batch.column(batch.schema.get_field_index(column))
     sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seriesloom.llm.common import id_text, pieces
+from seriesloom.llm.common import id_text, pieces, staged
 
 FEATURES, ORDER, BLOCK = 1 << 16, 3, 1 << 20
 #: Training texts of each language that fit the weights, at most.
@@ -31,6 +31,7 @@ SAMPLE = 1500
 #: FTRL-proximal: step, smoothing, L1 and L2; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 1.0, 1.0, 0.2, 0.02, 3
 FOLDS, HELD = 4, 2
+BROADCAST_LANGUAGES = 100_000
 _SEEDS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -39,8 +40,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _letter_table() -> np.ndarray:
-    """For each character of the basic plane: itself if it is a letter, else a space."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], dtype=np.uint32)
+    """For each character: itself if it is a letter, else a space."""
+    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
 
 
 _LETTERS = _letter_table()
@@ -61,8 +62,7 @@ def column_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def ngrams(text: str) -> np.ndarray:
     """Columns of all n-grams of a text of up to BLOCK characters; none if it has no letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    codes = np.where(codes < 0x10000, _LETTERS[np.minimum(codes, 0xFFFF)], codes)
+    codes = _LETTERS[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)]
     space = codes == 32
     if space.all():
         return np.zeros(0, dtype=np.int64)
@@ -79,31 +79,42 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts that hold each column, and all texts; every task hands on one vector."""
+    """Texts that hold each column, and all texts; tasks hand on counts, which Spark sums by column."""
     def run(batches):
-        df, n = np.zeros(FEATURES, dtype=np.int64), 0
-        there = np.zeros(FEATURES, dtype=bool)
+        df = np.zeros(FEATURES + 1, dtype=np.int64)  # the last one counts texts
+        there = np.zeros(FEATURES + 1, dtype=bool)
         for batch in batches:
             for text in batch.column(0):
                 for part in blocks_of(text.as_py()):
                     there[ngrams(part)] = True
+                there[FEATURES] = True
                 df += there
                 there[:] = False
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([df.astype("<i8").tobytes()], type=pa.binary()), pa.array([n], type=pa.int64())], names=["df", "n"])
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(df[found])], names=["column", "n"])
 
-    total, n = np.zeros(FEATURES, dtype=np.int64), 0
-    for row in train.select("text").mapInArrow(run, "df binary, n long").toLocalIterator():
-        total += np.frombuffer(row["df"], dtype="<i8")
-        n += row["n"]
-    return total, n
+    total = np.zeros(FEATURES + 1, dtype=np.int64)
+    for row in train.select("text").mapInArrow(run, "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).collect():
+        total[row["column"]] = row["n"]  # at most FEATURES + 1 rows
+    return total[:FEATURES], int(total[FEATURES])
 
 
 def sampled(train: DataFrame, sample: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """lang, columns and counts of up to ``sample`` texts of each language."""
+    """lang, columns and counts of up to ``sample`` texts of each language.
+
+    The hash of the id decides. Its range is first narrowed so that about twice as many rows of a language are left
+    as are wanted, so that no language is put in order as a whole.
+    """
+    ids = train.select("doc_id", "lang")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = staged(counts, "languages")
+    if counts.count() <= BROADCAST_LANGUAGES:  # one row for each language, counted before it is broadcast
+        counts = F.broadcast(counts)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = ids.join(counts, "lang").where(drawn * F.col("_n") < F.lit(float(1 << 31) * sample))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = train.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample)
+    by_draw = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    chosen = few.withColumn("_n", F.row_number().over(by_draw)).where(F.col("_n") <= sample)
     # ids and languages only: at most ``sample`` rows of each language are broadcast
     rows = train.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
@@ -116,8 +127,7 @@ def sampled(train: DataFrame, sample: int) -> list[tuple[str, np.ndarray, np.nda
                      pa.array([n.astype("<u4").tobytes() for _, n in found], type=pa.binary())], names=["doc_id", "lang", "columns", "counts"])
 
     counted = (rows.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, columns binary, counts binary")
-               .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "columns")))
-               .where(F.col("_n") <= sample))
+               .withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= sample))
     out = [(r["lang"], np.frombuffer(r["columns"], dtype="<u2").astype(np.int64), np.frombuffer(r["counts"], dtype="<u4"))
            for r in counted.select("doc_id", "lang", "columns", "counts").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "columns").toLocalIterator()]
     return [x for x in out if len(x[1])]

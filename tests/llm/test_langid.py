@@ -19,6 +19,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1, 2, 3, 11))
     assert got[5]["lang_pred"] in ("en", "fr")
     assert langid.languages_of(no_docs).count() == 0
+    assert len(langid.ngrams("😀 — 12 ²")) == 0 and len(langid.ngrams("𝒜")) > 0
     unknown = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in langid.languages_of(unknown).collect()} == {"und"}
 
