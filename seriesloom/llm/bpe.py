@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import pieces
+from seriesloom.llm.common import pieces, tidy
 
 #: Vocabulary file, and how many distinct words a worker remembers.
 BYTE_BPE = "byte_bpe_50k.json"
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 #: Words of more bytes are merged with a queue.
 SHORT = 64
 
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", to: str
                 columns = [ids if i == at else part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -263,7 +263,7 @@ def decode(tokens: DataFrame, path: str | None = None, ids: str = "ids", to: str
                 texts = pa.array([vocabulary(path).decode(x or b"") for x in column], type=pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, to])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(tidy(run), schema)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:

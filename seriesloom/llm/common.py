@@ -6,6 +6,7 @@ Words are runs of ``[^\\x20\\x09-\\x0D]+`` throughout; ``bytes.split()`` cuts UT
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -85,6 +86,20 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(flat, " "), "")).cast("long")
 
 
+def tidy(run):
+    """``run`` for mapInArrow, after which a worker hands memory it no longer uses back to the system.
+
+    Workers wait for further tasks, of other stages too; what their allocators keep would count against the executor.
+    """
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return tidied
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

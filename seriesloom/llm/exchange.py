@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import new_folder, pieces, shuffle_partitions, text_bytes
+from seriesloom.llm.common import new_folder, pieces, shuffle_partitions, text_bytes, tidy
 
 CHUNK = 2 << 20
 
@@ -41,7 +41,7 @@ def pack(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
                 number += 1
 
     name = f"chunks_{uuid.uuid4().hex}"
-    (docs.mapInArrow(run, "chunk long, body binary, sizes array<long>, rest binary").write.format("parquet")
+    (docs.mapInArrow(tidy(run), "chunk long, body binary, sizes array<long>, rest binary").write.format("parquet")
      .option("compression", "zstd").option("path", new_folder(spark, "chunks"))
      .bucketBy(shuffle_partitions(spark), "chunk").saveAsTable(name))
     return spark.table(name)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import pieces, text_bytes
+from seriesloom.llm.common import pieces, text_bytes, tidy
 
 #: Labelled rows that fit the list, at most.
 SAMPLE = 20_000
@@ -86,7 +86,7 @@ def with_statistics(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 columns = [part.column(i) for i in range(part.num_columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(rows[:, k]) for k in range(len(STATISTICS))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 #: What conditions are about; each is a count or a ratio of counts.

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.common import pieces, shuffle_partitions, staged, text_bytes
+from seriesloom.llm.common import pieces, shuffle_partitions, staged, text_bytes, tidy
 from seriesloom.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -60,7 +60,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep_text: bool =
                 columns = [part.column(i) for i in range(part.num_columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def as_long(mask: int) -> int:
@@ -201,7 +201,7 @@ def node_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
         a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, dtype=np.int64) for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.mapInArrow(tidy(run), "a long, b long")
 
 
 def code_components(codes: DataFrame, bits: int = BITS) -> DataFrame:

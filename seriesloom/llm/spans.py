@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm import exchange as ex
-from seriesloom.llm.common import staged
+from seriesloom.llm.common import staged, tidy
 
 LENGTH, TRIGGER = 50, 24
 _NO_ID = np.int64(np.iinfo(np.int64).max)
@@ -157,7 +157,7 @@ def ask_triggers(chunks: DataFrame) -> DataFrame:
             yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((parse.distinct[i:j] >> _16, 6), (phrase[i:j], 4), (least[i:j], 8)))
                                                 for b, i, j in ex.ranges(parse.distinct, n)])
 
-    return chunks.select("chunk", "body", "sizes", "rest").mapInArrow(run, ex.ENTRIES)
+    return chunks.select("chunk", "body", "sizes", "rest").mapInArrow(tidy(run), ex.ENTRIES)
 
 
 def settle_triggers(lists: list[bytes]) -> list[bytes]:
@@ -218,7 +218,7 @@ def ask_suffixes(chunks: DataFrame, triggers: DataFrame) -> DataFrame:
             yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((known.keys[i:j], 8), (known.least[i:j], 8)))
                                                 for b, i, j in ex.ranges(known.keys, n)])
 
-    return chunks.join(triggers, "chunk").select("chunk", "body", "sizes", "rest", "answers").mapInArrow(run, ex.ENTRIES)
+    return chunks.join(triggers, "chunk").select("chunk", "body", "sizes", "rest", "answers").mapInArrow(tidy(run), ex.ENTRIES)
 
 
 def settle_suffixes(lists: list[bytes]) -> list[bytes]:
@@ -288,7 +288,7 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
                                               pa.array(spans, type=arrow_span), pa.array(kept, type=pa.binary())], names=schema.names)
 
     return (chunks.join(triggers, "chunk", "left").join(suffixes, "chunk", "left")
-            .select("body", "sizes", "rest", "answers", "later").mapInArrow(run, schema))
+            .select("body", "sizes", "rest", "answers", "later").mapInArrow(tidy(run), schema))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
