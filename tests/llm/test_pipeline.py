@@ -1,6 +1,7 @@
 """The stages, each on its own input against plain Python; the registered names; the library without this package."""
 
 import os
+import random
 import re
 import shutil
 import subprocess
@@ -51,6 +52,34 @@ def test_near_duplicates_go_only_for_one_that_stays(steps):
     assert close == 0
 
 
+def test_no_near_pair_stays_and_the_order_decides(spark):
+    """Texts of a family share most words, far beyond the reach of the fingerprints; some words are in a third of all."""
+    rnd, rows = random.Random(7), []
+    common = [f"c{k}" for k in range(60)]
+    for family in range(60):
+        base = [f"f{family}w{k}" for k in range(150)]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rnd.randint(0, 5)):
+                words[rnd.randrange(150)] = f"x{rnd.random()}"
+            rows.append(" ".join(words + (common if family % 3 == 0 else [])))
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    sets = {i: neardup.shingle_set(text.encode()) for i, text in enumerate(rows)}
+    want: list[int] = []
+    for i in sorted(sets):
+        if all(neardup.similarity(sets[i], sets[s]) < 0.8 for s in want):
+            want.append(i)
+    assert 60 < len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in neardup.without_near_copies(docs).collect()) == want
+    assert sorted(r["doc_id"] for r in neardup.without_near_copies(docs, few=0, pairs=0).collect()) == want
+
+
+def test_the_pipeline_leaves_no_near_pair(steps):
+    sets = [neardup.shingle_set((r["text"] or "").encode()) for r in steps[2]]
+    assert not any(neardup.similarity(a, b) >= 0.8 for k, a in enumerate(sets) for b in sets[:k])
+
+
 def test_repeated_passages_are_cut_on_whole_characters(steps):
     before, after = {r["doc_id"]: r["text"] for r in steps[2]}, {r["doc_id"]: r for r in steps[3]}
     assert before.keys() == after.keys()
