@@ -5,9 +5,9 @@ that hold the words. Bigram counts are quantised to powers of two, level 1 + flo
 of level q goes into a Bloom filter as the q pairs (bigram, 1) ... (bigram, q). To look one up, its pairs are probed
 from level 1 until one is missing; a wrong hit can only raise a level, and needs all HASHES bits of it set by others.
 
-The filter has FILTER_BITS bits whatever the input, so it may be broadcast; the lowest level that is stored is the
-least one at which the filter stays half empty, found from the histogram of all levels. The filter is built in parts:
-each range of the hash space owns a part of the bits.
+The filter holds all levels and has as many bits as keep it half empty, found from the histogram of all levels, at least
+FILTER_BITS. It is built in parts: each range of the hash space owns a part of the bits. A filter of FILTER_BITS is
+broadcast; a larger one stays in its parts, and chunks ask the parts about their bigrams by lists, as for unigrams.
 
 score is the sum of log10(LAMBDA * c(v, w) / c(v) + (1 - LAMBDA) * p(w)), where p(w) is the smoothed unigram
 probability and c(v, w) the middle of the stored level, at most c(v).
@@ -143,10 +143,10 @@ class Filter:
             cells[self.places(keys[levels >= level], level)] = True
         return np.packbits(cells, bitorder="little").tobytes()
 
-    def levels(self, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Level of each key, 0 if it is not there, by probing one level after the other."""
+    def levels(self, bits: np.ndarray, keys: np.ndarray, one: bool = False) -> np.ndarray:
+        """Level of each key, 0 if it is not there, by probing one level after the other; ``one``: bits of their range only."""
         out = np.zeros(len(keys), dtype=np.int64)
-        base = (((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)).astype(np.int64) * self.part
+        base = np.zeros(len(keys), dtype=np.int64) if one else (((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)).astype(np.int64) * self.part
         at = np.arange(len(keys))
         for level in range(self.lowest, LEVELS + 1):
             place = self.places(keys[at], level) + base[at][:, None]
@@ -168,10 +168,36 @@ def lowest_level(histogram: np.ndarray, bits: int = FILTER_BITS) -> int:
     return LEVELS
 
 
+def bits_needed(histogram: np.ndarray) -> int:
+    """Bits with which a filter of all levels is half empty, at least FILTER_BITS."""
+    return max(FILTER_BITS, int(np.ceil((histogram * np.arange(len(histogram))).sum() * HASHES / np.log(2))))
+
+
+def levels_by_range(chunks: DataFrame, parts: DataFrame, shape: Filter) -> DataFrame:
+    """chunk, levels: the levels of all bigrams of a chunk, as lists by bucket, from the part of each range."""
+    def ask_all(batches):
+        for row in ex.rows_of(batches):
+            keys = np.unique(Tokens(row).bigrams())
+            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((keys[i:j], 8))) for b, i, j in ex.ranges(keys, shape.ranges)])
+
+    def probe(asked: pa.Table, part: pa.Table) -> pa.Table:
+        bits = np.frombuffer(part.column("bits")[0].as_py(), dtype=np.uint8) if part.num_rows else None
+        answers = []
+        for entry in asked.column("entries"):
+            keys = ex.unpack_columns(entry.as_py(), 8)[0]
+            level = np.zeros(len(keys), dtype=np.int64) if bits is None else shape.levels(bits, keys, one=True)
+            answers.append(ex.pack_columns((level.astype(np.uint64), 1)))
+        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "answer": pa.array(answers, type=pa.binary())})
+
+    asked = chunks.select("chunk", "body", "sizes", "rest").mapInArrow(ask_all, ex.ENTRIES)
+    replies = asked.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(probe, "chunk long, bucket int, answer binary")
+    return staged(replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("levels")), "levels")
+
+
 class Model:
-    """What scoring needs: N, V, and the broadcast filter."""
+    """What scoring needs: N, V, and the filter, broadcast (bits) or else the levels of each chunk's bigrams."""
 
-    def __init__(self, chunks: DataFrame):
+    def __init__(self, chunks: DataFrame, broadcast_bits: int = FILTER_BITS):
         spark, n = chunks.sparkSession, ex.n_ranges(chunks)
         replies = ask(chunks, False).groupBy("bucket").applyInArrow(count_answers, "chunk long, bucket int, answer binary")
         self.replies = staged(replies, "counts")
@@ -182,15 +208,21 @@ class Model:
         histogram = np.zeros(LEVELS + 1, dtype=np.int64)
         for row in kept.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
             histogram[row["level"]] = row["n"]
-        self.filter = shape = Filter(n, lowest_level(histogram))
+        needed = bits_needed(histogram)
+        self.filter = shape = Filter(n, 1, needed)
 
         def build(batches):
             for row in ex.rows_of(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], type=pa.int32()), pa.array([shape.build(*_keys_levels(row["kept"]))], type=pa.binary())],
                                                  names=["bucket", "bits"])
 
-        bits = bytearray(shape.part * n // 8)  # at most FILTER_BITS, or 8 bits for each range
-        for row in kept.select("bucket", "kept").mapInArrow(build, "bucket int, bits binary").toLocalIterator():
+        parts = kept.select("bucket", "kept").mapInArrow(build, "bucket int, bits binary")
+        self.bits = self.levels = None
+        if needed > broadcast_bits:
+            self.levels = levels_by_range(chunks, parts, shape)
+            return
+        bits = bytearray(shape.part * n // 8)  # at most ``broadcast_bits``, or 8 bits for each range
+        for row in parts.toLocalIterator():
             bits[row["bucket"] * shape.part // 8:(row["bucket"] + 1) * shape.part // 8] = row["bits"]
         self.bits = spark.sparkContext.broadcast(bytes(bits))
 
@@ -200,17 +232,17 @@ def _keys_levels(kept: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, levels.astype(np.int64)
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, broadcast_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the model's)."""
     chunks = ex.pack(docs.select("doc_id", "text"))
-    model = Model(chunks)
+    model = Model(chunks, broadcast_bits)
     n, shape, broadcast = model.n_tokens, model.filter, model.bits
     bottom = n + ADDED * (model.n_distinct + 1)
     answers = (model.replies.where(F.col("chunk") >= 0).groupBy("chunk")
                .agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers")))
 
     def run(batches):
-        bits = np.frombuffer(broadcast.value, dtype=np.uint8)
+        bits = None if broadcast is None else np.frombuffer(broadcast.value, dtype=np.uint8)
         for row in ex.rows_of(batches):
             t = Tokens(row)
             count = np.concatenate([ex.unpack_columns(a["answer"], 5)[0] for a in row["answers"]]).astype(np.float64)
@@ -219,7 +251,8 @@ def scored(docs: DataFrame) -> DataFrame:
             before = np.r_[end, t.token[:-1]]
             before[t.starts] = end  # as many starts as ends
             pairs, back = np.unique(t.bigrams(), return_inverse=True)
-            level = shape.levels(bits, pairs)[back]
+            level = shape.levels(bits, pairs) if bits is not None else np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["levels"]]).astype(np.int64)
+            level = level[back]
             context = count[before]
             seen = np.where(level > 0, FEWEST * 1.5 * 2.0 ** (level - 1), 0.0)
             bigram = np.minimum(seen, context) / np.maximum(context, 1.0)
@@ -230,5 +263,8 @@ def scored(docs: DataFrame) -> DataFrame:
                 [pa.array(t.doc_ids, type=pa.int64()), pa.array(t.held), pa.array(t.lengths), pa.array(known), pa.array(np.full(len(t.lengths), n, dtype=np.int64)),
                  pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return chunks.join(answers, "chunk").select("body", "sizes", "rest", "answers").mapInArrow(
+    asked = chunks.join(answers, "chunk")
+    if model.levels is not None:
+        asked = asked.join(model.levels, "chunk")
+    return asked.drop("chunk").mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,3 +1,4 @@
+import functools
 import math
 import zlib
 from collections import Counter
@@ -55,3 +56,17 @@ def test_lowest_level_keeps_the_filter_half_empty():
     histogram[1:5] = 10_000, 5_000, 1_000, 100
     assert lm.lowest_level(histogram, 1 << 24) == 1
     assert lm.lowest_level(histogram, 1 << 15) > 1
+
+
+def test_filter_grows_with_its_entries_and_keeps_all_levels():
+    histogram = np.zeros(lm.LEVELS + 1, dtype=np.int64)
+    assert lm.bits_needed(histogram) == lm.FILTER_BITS
+    histogram[1:4] = 100_000_000, 30_000_000, 10_000_000
+    shape = lm.Filter(64, 1, lm.bits_needed(histogram))
+    assert shape.lowest == 1 and shape.part * 64 >= 0.99 * 190_000_000 * lm.HASHES / np.log(2)
+
+
+def test_parts_by_range_give_the_same_scores(odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(lm, "scored", functools.partial(lm.scored, broadcast_bits=0))
+    check(odd_docs)
+    assert lm.scored(no_docs).count() == 0
