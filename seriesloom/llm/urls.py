@@ -8,9 +8,8 @@ rules. They are matched through an inverted index from token to rules: a rule fi
 fitting rule of highest confidence, then support, then name decides; without one the verdict is DEFAULT.
 
 Labels are the verdicts of the given rules, on all rows that they judge. A null URL, or one without "://", has empty
-host and path. The number of mined rules is bounded by their support: a URL has a bounded number of tokens (the first
-SEGMENTS segments and PARAMETERS parameters count), so it holds a bounded number of combinations, and each rule needs a
-SUPPORT share of all labelled URLs. Repeated rows are judged alike; an empty table gives an empty table.
+host and path. The whole URL is tokenised, however deep; what bounds the mining is that each token, and each rule, needs
+a SUPPORT share of all labelled URLs. Repeated rows are judged alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +26,6 @@ from seriesloom.llm.common import staged
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 SUPPORT, CONFIDENCE, TOKENS, DEFAULT = 0.01, 0.9, 3, "allow"
-SEGMENTS, PARAMETERS, LABELS = 4, 4, 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,14 +57,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """Distinct tokens of a URL."""
     labels = F.split(host, r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))),
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)),
                         lambda n: F.concat(F.lit("host="), F.array_join(F.slice(labels, -n, n), ".")))
-    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, SEGMENTS)
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
     kinds = F.transform(segments, lambda s, i: F.concat(
         F.lit("path"), i.cast("string"), F.lit("="),
         F.when(s.rlike(r"^[0-9]+$"), "number").when(s.rlike(r"\.[A-Za-z0-9]{1,5}$"), F.concat(F.lit("."), F.substring_index(s, ".", -1))).otherwise(s)))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    names = F.transform(F.slice(F.filter(F.split(query, "&"), lambda s: s != ""), 1, PARAMETERS),
+    names = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""),
                         lambda s: F.concat(F.lit("query="), F.substring_index(s, "=", 1)))
     scheme = F.array(F.concat(F.lit("scheme="), F.translate(F.substring_index(F.coalesce(url, F.lit("")), "://", 1), _UPPER, _LOWER)))
     mark = F.when(F.instr(url, "#") > 0, F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))

@@ -47,3 +47,13 @@ def test_mined_rules_are_supported_confident_and_matched(spark):
     for r in urls.matched(known, mined).collect():
         first = next((m.verdict for m in mined if m.tokens <= set(r["tokens"])), urls.DEFAULT)
         assert r["verdict"] == (r["given"] or first)
+
+
+def test_rules_use_the_whole_url(spark):
+    deep = "http://s.t.u.v.w.org/es/b/c/d/deep?a=1&b=2&c=3&d=4&e=5"
+    rows = [f"http://a{i}.net/es/b/c/d/deep" for i in range(20)] + [f"http://a{i}.com/es/b/c/d/other" for i in range(20)] + [deep]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    tokens = urls.parsed(pages).where("page_id = 40").first()["tokens"]
+    assert {"path4=deep", "query=e", "host=t.u.v.w.org", "host=s.t.u.v.w.org"} <= set(tokens)
+    verdicts = {r["page_id"]: r["verdict"] for r in urls.judged_urls(pages).collect()}
+    assert verdicts[40] == "block"
