@@ -32,7 +32,7 @@ from seriesloom.llm.exchange import rows_of
 
 SHARD, LEAF, BLOCK = 16_384, 64, 1024
 NEAREST, EVERY, FACTOR = 5, 50, 3.0
-_SLACK, _SPARE = 1e-6, 3
+_SLACK, _SPARE, _TIE = 1e-6, 3, 1e-12
 
 
 def usable(vector: Column) -> Column:
@@ -97,8 +97,11 @@ def chord(cos: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cos))
 
 
-def search(tree: dict, ids: np.ndarray, queries: np.ndarray, nearest: int = NEAREST, factor: float = FACTOR):
-    """Query number, id and score of the nearest found for each query; also the share of points that were compared."""
+def search(tree: dict, ids: np.ndarray, queries: np.ndarray, nearest: int = NEAREST, factor: float = FACTOR, spare: int = _SPARE):
+    """Query number, id and score of the nearest found for each query; also the share of points that were compared.
+
+    Where all of nearest + spare points tie with the last that counts, there may be more: the query is searched again with more.
+    """
     n, points = len(queries), tree["points"]
     q, p = unit(queries), unit(points)
     bound = np.zeros((n, len(tree["leaves"])))
@@ -113,7 +116,7 @@ def search(tree: dict, ids: np.ndarray, queries: np.ndarray, nearest: int = NEAR
         near, far = tree["children"][at]
         todo.append((near, np.maximum(least, np.maximum(a - d, d - b))))
         todo.append((far, np.maximum(least, np.maximum(c - d, d - e))))
-    keep = nearest + _SPARE
+    keep = nearest + spare
     best = np.full((n, keep), -np.inf)
     place = np.full((n, keep), -1)
     own = np.array([len(x) == 1 for x in tree["ids"]])
@@ -140,6 +143,8 @@ def search(tree: dict, ids: np.ndarray, queries: np.ndarray, nearest: int = NEAR
         rows = np.flatnonzero((start != leaf) & (bound[:, leaf] * factor <= reach + _SLACK))
         if len(rows):
             visit(leaf, rows)
+    more = np.flatnonzero(np.isfinite(best[:, -1]) & (best[:, -1] >= best[:, nearest - 1] - _TIE)) if keep < len(points) else np.zeros(0, dtype=np.int64)
+    place[more] = -1
     number, at = np.nonzero(place >= 0)
     point = place[number, at]
     score = cosine(queries[number], points[point])
@@ -151,7 +156,12 @@ def search(tree: dict, ids: np.ndarray, queries: np.ndarray, nearest: int = NEAR
     by = np.lexsort((found, -score, number))
     number, found, score = number[by], found[by], score[by]
     rank = np.arange(len(number)) - np.searchsorted(number, number)
-    return number[rank < nearest], found[rank < nearest], score[rank < nearest], compared / max(1, n * len(points))
+    number, found, score = number[rank < nearest], found[rank < nearest], score[rank < nearest]
+    if len(more):
+        again = search(tree, ids[more], queries[more], nearest, factor, 4 * spare)
+        compared += again[3] * len(more) * len(points)
+        number, found, score = np.r_[number, more[again[0]]], np.r_[found, again[1]], np.r_[score, again[2]]
+    return number, found, score, compared / max(1, n * len(points))
 
 
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:

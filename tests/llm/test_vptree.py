@@ -58,3 +58,14 @@ def test_whole_table_against_brute_force(spark):
         assert [r[0] for r in mine] == [1, 2, 3, 4, 5]
         hits += len({r[1] for r in mine} & {i for i, _ in brute(ids, x, q, 5)})
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
+def test_scaled_copies_tie_by_id():
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(-3, 4, size=(300, 8)).astype(np.float64)
+    x[:, 0] = 5
+    x[:200] = x[0] * 2.0 ** rnd.permutation(np.arange(-100, 100))[:, None]  # one direction, scores equal to the last bit
+    ids = rnd.permutation(300).astype(np.int64)
+    number, found, score, _ = vptree.search(vptree.build(ids, x), ids[:3], x[:3], 5, 1.0)
+    for k in range(3):
+        assert list(zip(found[number == k].tolist(), score[number == k].tolist())) == brute(ids, x, ids[k], 5)
