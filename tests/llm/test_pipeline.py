@@ -138,5 +138,6 @@ def test_every_operator_is_registered_once():
 def test_the_library_stands_without_this_package(tmp_path):
     shutil.copytree(f"{ROOT}/seriesloom", tmp_path / "seriesloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 120 and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
