@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, langid, lm, mixing, quality, simhash, spans, tokenfile, urls, vptree
+from seriesloom.llm import bpe, langid, lm, mixing, packing, quality, simhash, spans, tokenfile, urls, vptree
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_vp_tree_neighbours")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.neighbours_of_some(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_min_slack_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
