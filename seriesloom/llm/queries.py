@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import bpe, langid, lm, mixing, packing, quality, repair, simhash, spans, tokenfile, urls, vptree
+from seriesloom.llm import alignment, bpe, langid, lm, mixing, packing, quality, repair, simhash, spans, tokenfile, urls, vptree
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_structure_repair")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
