@@ -40,8 +40,8 @@ END = 2
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
 LEVEL = 1
-#: Distinct words that a worker remembers; longer ones than LONG characters are encoded each time.
-REMEMBERED, LONG = 250_000, 200
+#: Distinct words that a worker remembers in two generations of half as many; longer ones than LONG are encoded each time.
+REMEMBERED, LONG = 400_000, 200
 
 
 # White space, letters and digits of Latin-1 as the vocabulary's own splitter takes them, lower case.
@@ -65,28 +65,42 @@ class WordEncoder:
         stand_in = {b: c for c, b in byte_alphabet().items()}
         self.as_bytes = {i: "".join(stand_in[b] for b in chr(i).encode()) for i in range(256)}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words = {}
+        if len(self.words) > REMEMBERED // 2:  # the young table becomes the old one; what is met again comes back
+            self.words, self.older = {}, self.words
         split = [self.cut(text) for text in texts]
-        known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        found: dict[str, bytes] = {}
-        for word in new:
-            ids = []
-            for part in _PARTS.findall(word):
-                if part not in found:
-                    found[part] = array("I", [t.id for t in self.model.tokenize(part.translate(self.as_bytes))]).tobytes()
-                ids.append(found[part])
-            known[word] = b"".join(ids)
+        known, older, long = self.words, self.older, []
+        for word in {w for words in split if words for w in words if w not in known}:
+            if (ids := older.get(word)) is None:
+                ids = self.word(word)
+            known[word] = ids
+            if len(word) > LONG:
+                long.append(word)
         out = [self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
                for text, words in zip(texts, split)]
-        for word in new:
-            if len(word) > LONG:
-                del known[word]
+        for word in long:
+            del known[word]
         return out
 
+    def word(self, word: str) -> bytes:
+        """Ids of a new word; parts of a word are words themselves, so that "end." finds "end"."""
+        parts = _PARTS.findall(word)
+        if len(parts) == 1:
+            return self.part(word)
+        ids = []
+        for part in parts:
+            if (found := self.words.get(part) or self.older.get(part)) is None:
+                found = self.part(part)
+                if len(part) <= LONG:
+                    self.words[part] = found
+            ids.append(found)
+        return b"".join(ids)
+
+    def part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part.translate(self.as_bytes))]).tobytes()
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

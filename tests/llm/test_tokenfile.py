@@ -50,6 +50,18 @@ def test_words_equal_the_library():
         assert encoder.encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_forgotten_in_two_generations(monkeypatch):
+    monkeypatch.setattr(tf, "REMEMBERED", 40)
+    monkeypatch.setattr(tf, "LONG", 12)
+    library, encoder, rnd = Tokenizer.from_file(PATH), tf.WordEncoder(PATH), random.Random(2)
+    words = ["end", "end.", "end.end", "a'sb", "12", "…", "x" * 30] + ["".join(rnd.choice("abc.'s1") for _ in range(rnd.randint(1, 14))) for _ in range(300)]
+    for _ in range(60):
+        texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) + " often" for _ in range(5)]
+        assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert "often" in encoder.words and not any(len(w) > 12 for w in encoder.words)
+        assert len(encoder.words) + len(encoder.older) < 40 + 2 * 150
+
+
 def test_odd_rows_are_read_back_in_order(odd_docs, no_docs):
     library = Tokenizer.from_file(PATH)
     rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or ""))
