@@ -15,10 +15,6 @@ from seriesloom.operators.labels import add_labels
 from seriesloom.plans import reports as R
 from seriesloom.session import stored
 
-# Few and shallow trees: a round takes about a second here, and 400 of them for each of 13 fits would take hours.
-# All rows and all five folds are there.
-QUICK = ML.TreeSettings(rounds=5, depth=3, step=0.3)
-
 _FOLDS = f"""WITH {panel_sql('p_type')}, s AS (SELECT min(date) AS lo, max(date) AS hi FROM panel),
  step AS (SELECT lo, hi, greatest(30, (hi - lo - 180) // 5) AS st FROM s),
  f AS (SELECT CAST(i + 1 AS INTEGER) AS fold, CAST(lo + CAST(180 + i * st AS INTEGER) AS DATE) AS train_end,
@@ -40,29 +36,35 @@ def _rows(spark, sf):
 @query("signals_binary")
 def signals_binary(spark, sf):
     rows = stored(_rows(spark, sf), "labelled")
-    return ML.score(ML.train_final(rows, ML.BINARY, None, QUICK), rows)
+    return ML.score(ML.train_final(rows, ML.BINARY), rows)
 
 
 @query("signals_three_way")
 def signals_three_way(spark, sf):
     rows = stored(_rows(spark, sf), "labelled")
-    return ML.score(ML.train_final(rows, ML.THREE, dt.date(2001, 1, 1), QUICK), rows, dt.date(2001, 6, 30))
+    return ML.score(ML.train_final(rows, ML.THREE, dt.date(2001, 1, 1)), rows, dt.date(2001, 6, 30))
 
 
 @query("walk_forward_cv")
 def walk_forward_cv(spark, sf):
-    return ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5, QUICK)
+    return ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5)
 
 
 @query("cv_means")
 def cv_means(spark, sf):
-    return ML.cv_means(ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5, QUICK))
+    return ML.cv_means(ML.walk_forward_cv(stored(_rows(spark, sf), "labelled"), ML.BINARY, 5))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     rows = stored(_rows(spark, sf), "labelled")
-    return ML.importance(ML.train_final(rows, ML.BINARY, None, QUICK), rows, ["collection_identifier", "chain", "date"])
+    return ML.importance(ML.train_final(rows, ML.BINARY), rows, ["collection_identifier", "chain", "date"])
+
+
+@query("swapped_importance")
+def swapped_importance(spark, sf):
+    rows = stored(_rows(spark, sf), "labelled")
+    return ML.swapped_importance(ML.train_final(rows, ML.BINARY), rows, ["collection_identifier", "chain", "date"])
 
 
 _SIG = """sig AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) AS collection_identifier, CAST(l_linenumber AS VARCHAR) AS chain,

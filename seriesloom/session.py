@@ -30,22 +30,29 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
     return builder.getOrCreate()
 
 
-def stored(df, name: str):
-    """``df`` written to the shared folder and read again, for plans that use it several times.
-
-    The folder is removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one; it is removed when the driver's Python ends."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, folder)
+    return folder
+
+
+def stored(df, name: str):
+    """``df`` written to the shared folder and read again, for plans that use it several times."""
+    folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, folder)
     except Exception:  # the JVM has gone already; the cluster's own clean-up has to do it
         pass
 
