@@ -14,14 +14,50 @@ def latest_until(df: DataFrame, signals: DataFrame, keys: list[str], columns: li
     return df.join(latest, keys, "left")
 
 
+#: Days of one key are cut into slices where they hold more rows, at most so many days, by so many quantiles of their times.
+SLICED, MOST_SLICED, CUTS = 200_000, 20_000, 63
+#: Parts of the rows of one side at one time that a quantile hits.
+PARTS = 16
+
+
+def time_chunks(both: DataFrame, keys: list[str], sliced: int = SLICED) -> DataFrame:
+    """Rows (keys, _ts, _side) with ``_chunk``: (day, slice of the day, part), in the order of time inside a key.
+
+    A key's day of more than ``sliced`` rows is cut at quantiles of its times, so that a slice holds about as many rows as any
+    other. A time that holds so many rows that it is a quantile is cut further, by a hash: first the right rows' parts, then
+    the left rows', as a left row finds right rows of its own time. The days to cut are the largest, at most
+    MOST_SLICED of them: any other holds fewer than one row in MOST_SLICED.
+    """
+    day = F.to_date("_ts")
+    narrow = both.select(*keys, day.alias("_day"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(both.schema["_ts"].dataType), "_ts").alias("_at"))
+    large = narrow.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > sliced)
+    large = large.orderBy(F.desc("_n"), *keys, "_day").limit(MOST_SLICED).drop("_n").collect()
+    if not large:
+        none = F.lit(0).cast("int")
+        return both.withColumn("_chunk", F.struct(day.alias("day"), none.alias("slice"), none.alias("part")))
+    named = [*[f"_key{i}" for i in range(len(keys))], "_on"]
+    large = both.sparkSession.createDataFrame([tuple(r) for r in large], narrow.select(*keys, "_day").toDF(*named).schema)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip([*keys, "_day"], named)]
+    share = [k / (CUTS + 1) for k in range(1, CUTS + 1)]
+    cuts = narrow.join(F.broadcast(large), same).groupBy(*named).agg(F.percentile_approx("_at", share, 10_000).alias("_cuts"))
+    rows = both.withColumn("_day", day).withColumn(
+        "_at", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(both.schema["_ts"].dataType), "_ts"))
+    rows = rows.join(F.broadcast(cuts), same, "left")
+    part = F.pmod(F.xxhash64(*[c for c in both.columns if c != "_ts"]), F.lit(PARTS)) + 1 + F.col("_side") * PARTS
+    hit = F.coalesce(F.array_contains("_cuts", F.col("_at")), F.lit(False))
+    chunk = F.struct(F.col("_day").alias("day"), F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_at"))), F.lit(0)).alias("slice"),
+                     F.when(hit, part).otherwise(0).cast("int").alias("part"))
+    return rows.withColumn("_chunk", chunk).select(*both.columns, "_chunk")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, columns: list[str],
-              tie: str, chunk: str = "DAY") -> DataFrame:
+              tie: str, sliced: int = SLICED) -> DataFrame:
     """For every left row the ``columns`` of the latest right row of its key at or before ``ts``.
 
-    A key may own a large share of all rows, so a series is never gathered: rows are windowed
-    inside (key, chunk of time), and the value carried into a chunk comes from a window over
-    one summary row per chunk, whose number the calendar bounds. ``tie`` orders right rows of
-    equal time (the greatest wins). A left row with a NULL key or time finds nothing.
+    A key may own a large share of all rows, and a day of it too, so a series is never gathered: rows are windowed
+    inside (key, chunk of time), where chunks of a busy day are as fine as its rows ask for, and the value carried into a chunk
+    comes from a window over one summary row per chunk. ``tie`` orders right rows of equal time (the greatest wins). A
+    left row with a NULL key or time finds nothing.
     """
     value = F.struct(F.col(ts).alias("asof_ts"), *columns)
     for c in (*keys, ts):  # NULL equals nothing
@@ -32,13 +68,12 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, colum
                     F.struct(*lcols).alias("_row"))
     rr = right.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"),
                       value.alias("_val"))
-    both = l.unionByName(rr, allowMissingColumns=True).withColumn("_chunk", F.date_trunc(chunk, "_ts"))
+    both = time_chunks(l.unionByName(rr, allowMissingColumns=True), keys, sliced)
 
-    ends = both.groupBy(*keys, "_chunk").agg(
-        F.max_by("_val", F.when(F.col("_side") == 0, F.struct("_ts", "_tie"))).alias("_end"))
+    ends = both.groupBy(*keys, "_chunk").agg(F.max(F.when(F.col("_side") == 0, F.struct("_ts", "_tie", "_val"))).alias("_end"))
     over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
-    carry = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(
-        over_chunks.rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    carry = ends.withColumn("_carry", F.max("_end").over(
+        over_chunks.rowsBetween(Window.unboundedPreceding, -1))["_val"]).drop("_end")
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_ts", "_side", "_tie") \
                    .rowsBetween(Window.unboundedPreceding, 0)

@@ -75,24 +75,50 @@ def detect_crosses(panel: DataFrame, short: int, long: int, short_gap: int, long
     return _as_crosses(rows, short, long)
 
 
+def last_days(panel: DataFrame) -> DataFrame:
+    """Days with a price of each series: how many (``n``), the last one and the one before it (``prev``), as day numbers.
+
+    Days are bits of one number for 64 days, so that a hash aggregate unites them ahead of the exchange and several
+    identifiers or rows of a day count once.
+    """
+    day = S.day_number("date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(day, F.lit(64)))
+    masks = {True: "floor_native", False: "floor_usd"}
+    blocks = panel.groupBy("slug", "chain", F.floor(day / 64).cast("int").alias("block")).agg(
+        *[F.bit_or(F.when(F.col(c).isNotNull(), bit)).alias(c) for c in masks.values()])
+    blocks = blocks.select("slug", "chain", "block", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("is_native"), F.coalesce(c, F.lit(0).cast("bigint")).alias("mask")) for k, c in masks.items()]))).filter("mask <> 0")
+
+    def highest(mask: str) -> Column:
+        return F.length(F.bin(mask)) - 1
+
+    blocks = blocks.withColumn("_top", highest("mask"))
+    blocks = blocks.withColumn("_rest", F.col("mask").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_top"))))
+    blocks = blocks.withColumn("top", F.col("block") * 64 + F.col("_top")) \
+                   .withColumn("second", F.when(F.col("_rest") != 0, F.col("block") * 64 + highest("_rest")))
+    return blocks.groupBy(*SERIES).agg(
+        F.sum(F.bit_count("mask")).alias("n"), F.max("top").alias("last"),
+        F.max(F.struct("block", "top", "second")).alias("_end"),
+        F.sort_array(F.collect_set("top"), asc=False).alias("_tops")) \
+        .select(*SERIES, "n", "last", F.coalesce("_end.second", F.get("_tops", F.lit(1))).alias("prev"))
+
+
 def detect_current_crosses(panel: DataFrame, short: int, long: int, short_gap: int, long_gap: int,
                            pairs: DataFrame | None = None) -> DataFrame:
     """Crossovers on the last row of each series.
 
-    The last two rows need no more than ``long`` days before the row before last, so everything
-    older is dropped ahead of the sliding averages.
+    The last two rows need no more than ``long`` days before the row before last. The days that each series still needs come from
+    ``last_days`` and meet the rows ahead of the first exchange; the earliest of them reaches the scan as a literal.
     """
-    series = price_series(panel, pairs)
-    w = series_window(SERIES)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    series = (series
-              .withColumn("_ahead", F.when(F.lead("day", 1).over(w).isNull(), 0)
-                          .when(F.lead("day", 2).over(w).isNull(), 1))
-              .withColumn("_n", F.count("*").over(whole))
-              .withColumn("_prev", F.max(F.when(F.col("_ahead") == 1, F.col("day"))).over(whole))
-              .filter((F.col("_n") > long) & (F.col("day") > F.col("_prev") - long)))
-    rows = _crossings(series, short, long, short_gap, long_gap)
-    return _as_crosses(rows.filter(F.col("_cross") & (F.col("_ahead") == 0)), short, long)
+    ends = last_days(panel).filter(F.col("n") > long)
+    needed = ends.groupBy("slug", "chain").agg((F.min("prev") - long).alias("_after"))
+    first = needed.agg(F.min("_after")).first()[0]
+    if first is not None:
+        panel = panel.filter(F.col("date") > F.date_from_unix_date(F.lit(int(first))))
+    recent = panel.join(needed, ["slug", "chain"]).filter(S.day_number("date") > F.col("_after")).drop("_after")
+    series = price_series(recent, pairs).join(ends.select(*SERIES, "last", "prev"), SERIES)
+    rows = _crossings(series.filter(F.col("day") > F.col("prev") - long).drop("prev"), short, long, short_gap, long_gap)
+    return _as_crosses(rows.filter(F.col("_cross") & (F.col("day") == F.col("last"))), short, long)
 
 
 def price_lookup(rows: DataFrame, panel: DataFrame) -> DataFrame:

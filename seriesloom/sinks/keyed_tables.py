@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seriesloom.operators.keyed import first_row, latest_row
+from seriesloom.operators.keyed import first_row, last_row
 from seriesloom.session import shared_folder
 
 MONTH = "month"
@@ -71,7 +71,7 @@ def new_by_all(stored: DataFrame, batch: DataFrame, columns: list[str]) -> DataF
 def merged(stored: DataFrame, batch: DataFrame, keys: list[str], order: str, tie: list[str] = ()) -> DataFrame:
     """Insert or replace: the newest row per key of the table and the batch (batch wins ties)."""
     both = stored.withColumn("_side", F.lit(0)).unionByName(batch.withColumn("_side", F.lit(1)))
-    return latest_row(both, keys, "_side", [order, *tie]).drop("_side")
+    return last_row(both, keys, ["_side", order, *tie]).drop("_side")
 
 
 def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
