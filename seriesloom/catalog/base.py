@@ -56,6 +56,8 @@ def panel_sql(key: str = "p_brand") -> str:
    count(DISTINCT l_orderkey) AS unique_owners, count(DISTINCT l_partkey) AS total_supply
  FROM sales GROUP BY slug, chain, date), panel AS (
  SELECT *, 'id-' || slug AS collection_identifier, {_CHAIN_SYMBOL} AS chain_currency_symbol,
+   CASE WHEN length(slug) % 3 <> 0 THEN md5(slug) END AS contract_address,
+   CASE WHEN day(date) % 3 <> 0 THEN 'https://best.example/' || slug END AS best_price_url,
    CAST(date - DATE '1970-01-01' AS INTEGER) AS day,
    dense_rank() OVER (PARTITION BY date ORDER BY sale_volume_native_24h DESC) AS ranking
  FROM daily)"""
@@ -136,3 +138,22 @@ def sma_sql(src: str, keys: str, value: str, spans: dict[int, int], prefix: str
    (sum({value} + _gap) {f} - first_value(_gap) {f}
     + (first_value(day) {f} - (day - {p - 1})) * first_value({value}) {f}) / {p} END AS {prefix}{p}""")
     return f"{gap}, {src}_sma AS (SELECT *, {', '.join(cols)} FROM {src}_h)"
+
+
+def filled_day_by_day_sql(name: str, ends: str, obs: str, keys: list[str], spans: dict[int, int]) -> str:
+    """CTEs up to ``{name}{P}`` (keys, end_day, sma{P}): the frame of each end day written out, every missing day filled with the
+    running midpoint of its gap inside the frame, the frame's edges with their neighbour."""
+    out = []
+    for p, allowed in spans.items():
+        k = ", ".join(f"e.{x}" for x in keys)
+        on = " AND ".join(f"o.{x} = e.{x}" for x in keys)
+        part = f"PARTITION BY {', '.join(keys)}, end_day ORDER BY d"
+        back, ahead = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+        out.append(f"""{name}f{p} AS (SELECT {k}, e.end_day, e.end_day - i AS d, o.v FROM {ends} e CROSS JOIN range({p}) r(i)
+  LEFT JOIN {obs} o ON {on} AND o.day = e.end_day - i),
+ {name}g{p} AS (SELECT *, last_value(v IGNORE NULLS) OVER ({part} {back}) AS v0, last_value(CASE WHEN v IS NOT NULL THEN d END IGNORE NULLS) OVER ({part} {back}) AS d0,
+  first_value(v IGNORE NULLS) OVER ({part} {ahead}) AS v1 FROM {name}f{p}),
+ {name}{p} AS (SELECT {', '.join(keys)}, end_day, CASE WHEN count(v) > 0 AND {p} - count(v) <= {allowed} THEN
+  avg(CASE WHEN v IS NOT NULL THEN v WHEN v0 IS NULL THEN v1 WHEN v1 IS NULL THEN v0 ELSE v1 - (v1 - v0) / power(2.0, d - d0) END) END AS sma{p}
+  FROM {name}g{p} GROUP BY ALL)""".replace("GROUP BY ALL", f"GROUP BY {', '.join(keys)}, end_day"))
+    return ",\n ".join(out)

@@ -32,19 +32,31 @@ def _snapshots(s, sf):
         F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("slug"),
         F.element_at(F.array(*[F.lit(c) for c in fx.CHAINS]), (F.col("user_id") % 10 + 1).cast("int")).alias("blockchain"),
         F.when(F.col("event_id") % 2 == 0, F.array("event_type", F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("types"),
+        F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("Name "), F.col("user_id").cast("string"))).alias("name"),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("CUR"), (F.col("user_id") % 3).cast("string"))).alias("nativeCurrency"),
+        F.when(F.col("event_id") % 6 != 0, F.concat(F.lit("https://best.example/"), F.col("event_id").cast("string"))).alias("bestPriceUrl"),
         (F.col("event_id") % 7).alias("ranking"),
         F.struct(F.struct(_ms().alias("latestFloorTs"), F.col("value").alias("currentFloorNative"),
-                          F.struct(F.col("props").alias("contract")).alias("tokenInfo")).alias("floorInfo"),
-                 F.struct(F.struct((F.col("event_id") % 3).alias("val24h")).alias("count")).alias("salesTemporalityNative")).alias("stats")))
+                          F.when(F.col("event_id") % 4 != 0, F.col("value") * 2).alias("currentFloorUsd"),
+                          F.struct(F.col("props").alias("contract"), F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string")).alias("source")).alias("tokenInfo")).alias("floorInfo"),
+                 (F.col("event_id") % 11).alias("totalOwners"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 17).alias("totalSupply"),
+                 (F.col("user_id") % 19).alias("listedCount"),
+                 F.struct(F.struct((F.col("event_id") % 3).alias("val24h")).alias("count"), F.struct((F.col("value") * 3).alias("val24h")).alias("volume"),
+                          F.when(F.col("event_id") % 2 == 0, F.struct((F.col("value") + 1).alias("val24h"))).alias("highest"),
+                          F.struct((F.col("value") - 1).alias("val24h")).alias("lowest")).alias("salesTemporalityNative")).alias("stats")))
     return e.select("event_id", F.from_json(text, schemas.SNAPSHOT_ITEM).alias("item"))
 
 
 _SNAP_SQL = f"""snap AS (SELECT event_id, 'c' || user_id AS collection_identifier, CASE WHEN event_type <> 'error' THEN event_type END AS slug,
  {"[" + ", ".join(f"'{c}'" for c in fx.CHAINS) + "]"}[user_id % 10 + 1] AS chain, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS latest_floor_timestamp,
  value AS floor_native, props AS contract_address, event_id % 7 AS ranking, event_id % 3 AS sale_count_24h,
+ CASE WHEN user_id % 4 <> 0 THEN 'Name ' || user_id END AS name, CASE WHEN event_id % 5 <> 0 THEN 'CUR' || (user_id % 3) END AS chain_currency_symbol,
+ CASE WHEN event_id % 6 <> 0 THEN 'https://best.example/' || event_id END AS best_price_url, CASE WHEN event_id % 4 <> 0 THEN value * 2 END AS floor_usd,
+ 'src' || (event_id % 3) AS marketplace_source, event_id % 11 AS unique_owners, CASE WHEN event_id % 13 <> 0 THEN event_id % 17 END AS total_supply,
+ user_id % 19 AS listed_count, value * 3 AS sale_volume_native_24h, CASE WHEN event_id % 2 = 0 THEN value + 1 END AS highest_sale_native_24h,
+ value - 1 AS lowest_sale_native_24h,
  CASE WHEN event_id % 2 = 0 THEN event_type || ', x' END AS categories FROM events)"""
-_SNAP_COLS = ["collection_identifier", "contract_address", "slug", "date", "latest_floor_timestamp", "floor_native",
-              "chain", "ranking", "sale_count_24h"]
+_SNAP_COLS = list(schemas.fields("price_panel"))
 
 query("snapshot_projection", f"WITH {_SNAP_SQL} SELECT {', '.join(_SNAP_COLS)} FROM snap")(
     lambda s, sf: P.price_rows(_snapshots(s, sf)).select(*_SNAP_COLS))
@@ -52,31 +64,35 @@ query("snapshot_run_date", f"WITH {_SNAP_SQL} SELECT CASE WHEN date = DATE '{RUN
     lambda s, sf: KT.outcome_counts(P.with_date_outcome(P.price_rows(_snapshots(s, sf)), RUN)))
 query("metadata_projection", f"WITH {_SNAP_SQL} SELECT collection_identifier, slug, chain, categories, contract_address, 'usable' AS outcome FROM snap")(
     lambda s, sf: P.metadata_rows(_snapshots(s, sf)).select("collection_identifier", "slug", "chain", "categories", "contract_address", "outcome"))
-_MATCH = ["collection_identifier", "slug", "chain", "categories"]
-query("metadata_new_rows", f"""WITH {_SNAP_SQL}, s AS (SELECT DISTINCT collection_identifier, slug, chain, categories FROM snap)
- SELECT * FROM s EXCEPT SELECT collection_identifier, slug, chain, categories FROM snap WHERE event_id % 5 = 0""")(
-    lambda s, sf: (lambda m: KT.new_by_all(m.filter("event_id % 5 = 0"), m, _MATCH).select(*_MATCH))(_with_event_id(s, sf)))
+_MATCH = P.METADATA_MATCH
+query("metadata_new_rows", f"""WITH {_SNAP_SQL} SELECT DISTINCT {', '.join(_MATCH)} FROM snap
+ EXCEPT SELECT {', '.join(_MATCH)} FROM snap WHERE event_id % 5 = 0""")(
+    lambda s, sf: KT.new_by_all(P.metadata_rows(_snapshots(s, sf).filter("event_id % 5 = 0")), P.metadata_rows(_snapshots(s, sf)), _MATCH).select(*_MATCH))
 
 
-def _with_event_id(s, sf):
-    snap = _snapshots(s, sf)
-    i = F.col("item")
-    return snap.select(i["providerCollectionId"].alias("collection_identifier"), S.blank_to_null(i["slug"]).alias("slug"),
-                       i["blockchain"].alias("chain"), S.joined(S.empty_to_null(i["types"])).alias("categories"),
-                       F.col("event_id").cast("int").alias("event_id"))
+_COIN_NUMBERS = [c for c, kind in schemas.fields("crypto_daily_metrics").items() if kind in ("double", "bigint") and not c.startswith("roi_")]
+_COIN_TIMES = ["ath_date", "atl_date", "last_updated"]
 
 
 def _coins(s, sf):
+    """Coin JSON of all fields: number k of the schema is value + k, or a whole number where the schema asks for one."""
     e = fx.table(s, sf, "events")
-    text = F.to_json(F.struct(F.col("event_type").alias("symbol"), F.col("value").alias("current_price"),
-                              F.when(F.col("event_id") % 2 == 0, F.struct(F.col("value").alias("times"), F.lit("usd").alias("currency"))).alias("roi")))
+    whole = "market_cap_rank"
+    numbers = [(F.col("event_id") % 100 if c == whole else F.when((F.col("event_id") % (k + 2) != 0) | F.lit(k == 0), F.col("value") + k)).alias(c)
+               for k, c in enumerate(_COIN_NUMBERS)]
+    text = F.to_json(F.struct(
+        F.col("event_type").alias("symbol"), *[F.concat(F.lit(f"{c}-"), "event_type").alias(c) for c in ("id", "name", "image")], *numbers,
+        *[F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c) for c in _COIN_TIMES],
+        F.when(F.col("event_id") % 2 == 0, F.struct(F.col("value").alias("times"), F.lit("usd").alias("currency"), (F.col("value") * 100).alias("percentage"))).alias("roi")))
     item = F.from_json(text, schemas.COIN_ITEM)
     return P.coin_rows(e.select("ts", item.alias("item")), F.col("ts"))
 
 
-query("coin_projection", """SELECT date_trunc('hour', ts) AS date, upper(event_type) AS crypto_symbol, value AS current_price,
- CASE WHEN event_id % 2 = 0 THEN value END AS roi_times, CASE WHEN event_id % 2 = 0 THEN 'usd' END AS roi_currency FROM events""")(
-    lambda s, sf: _coins(s, sf).select("date", "crypto_symbol", "current_price", "roi_times", "roi_currency"))
+_COIN_SQL = [f"event_id % 100 AS {c}" if c == "market_cap_rank" else f"CASE WHEN event_id % {k + 2} <> 0 OR {k} = 0 THEN value + {k} END AS {c}" for k, c in enumerate(_COIN_NUMBERS)]
+query("coin_projection", f"""SELECT date_trunc('hour', ts) AS date, upper(event_type) AS crypto_symbol, {', '.join(f"'{c}-' || event_type AS {c}" for c in ('id', 'name', 'image'))},
+ {', '.join(_COIN_SQL)}, {', '.join(f"date_trunc('second', ts) AS {c}" for c in _COIN_TIMES)}, CASE WHEN event_id % 2 = 0 THEN value END AS roi_times,
+ CASE WHEN event_id % 2 = 0 THEN 'usd' END AS roi_currency, CASE WHEN event_id % 2 = 0 THEN value * 100 END AS roi_percentage FROM events""")(
+    lambda s, sf: _coins(s, sf).select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in _COIN_TIMES else F.col(c) for c in schemas.fields("crypto_daily_metrics")]))
 query("coin_insert_hourly", """SELECT date_trunc('hour', ts) AS date, upper(event_type) AS crypto_symbol, min(value) AS current_price FROM events GROUP BY 1, 2""")(
     lambda s, sf: (lambda c: KT.new_rows(c.limit(0), c, ["date", "crypto_symbol"], ["current_price"]))(
         _coins(s, sf).select("date", "crypto_symbol", "current_price")))

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from seriesloom import fixtures as fx
 from seriesloom.catalog import query
-from seriesloom.catalog.base import COLLECTIONS_SQL, MARKET_SQL, RAW_SQL, panel_sql, r, rs, sales_sql, sentiment_sql
+from seriesloom.catalog.base import (COLLECTIONS_SQL, MARKET_SQL, RAW_SQL, filled_day_by_day_sql, panel_sql, r, rs, sales_sql,
+                                     sentiment_sql)
 from seriesloom.catalog.q_crosses import crosses_sql, series_sql
+from seriesloom.functions import codes
 from seriesloom.operators import asof as AS
 from seriesloom.operators import averages as A
 from seriesloom.operators import calendar as C
@@ -213,22 +215,14 @@ _LOOSE = {20: 20, 50: 50, 100: 100, 200: 200}
 _END = (AS_OF - dt.date(1970, 1, 1)).days
 
 
-def _sma_asof_sql(src, span, allowed):
-    """Average over the frame's days, each day's value looked up in the gap it falls into."""
-    return f"""a{span} AS (SELECT collection_identifier, count(v) AS n, CASE WHEN count(v) > 0 AND {span} - count(v) <= {allowed} THEN
-  (sum(v + gap) - arg_min(gap, day) + (min(day) - {_END - span + 1}) * arg_min(v, day) + ({_END} - max(day)) * arg_max(v, day)) / {span} END AS sma{span}
- FROM {src} WHERE day BETWEEN {_END - span + 1} AND {_END} GROUP BY 1)"""
-
-
 _AVG = f"""{PART_DAILY}, {COLLECTIONS_SQL}, last AS (SELECT collection_identifier, max(date) AS d FROM part_daily GROUP BY 1),
  ids AS (SELECT slug, collection_identifier FROM (SELECT DISTINCT slug, collection_identifier FROM collections) JOIN last USING (collection_identifier)
   QUALIFY row_number() OVER (PARTITION BY slug ORDER BY d DESC, collection_identifier DESC) = 1),
- obs AS (SELECT collection_identifier, day, floor_native AS v, lag(day) OVER w AS d0, lag(floor_native) OVER w AS v0 FROM part_daily
-  WHERE floor_native IS NOT NULL AND date <= DATE '{AS_OF}' WINDOW w AS (PARTITION BY collection_identifier ORDER BY day)),
- obsg AS (SELECT *, CASE WHEN day - d0 > 1 THEN (day - d0 - 1) * v - (v - v0) * (1 - power(2.0, -(day - d0 - 1))) ELSE 0.0 END AS gap FROM obs),
- {', '.join(_sma_asof_sql('obsg', p, a) for p, a in _LOOSE.items())},
+ obs AS (SELECT collection_identifier, day, floor_native AS v FROM part_daily WHERE floor_native IS NOT NULL),
+ ends AS (SELECT DISTINCT collection_identifier, {_END} AS end_day FROM part_daily),
+ {filled_day_by_day_sql('a', 'ends', 'obs', ['collection_identifier'], _LOOSE)},
  whole AS (SELECT collection_identifier, count(*) AS records, min(date) AS first_date,
-  count(*) FILTER (day BETWEEN {_END - 199} AND {_END}) AS days_present FROM part_daily GROUP BY 1)"""
+  count(*) FILTER (day > {_END} - 200) AS days_present FROM part_daily WHERE date <= DATE '{AS_OF}' GROUP BY 1)"""
 add("average_report", f"""WITH {_AVG} SELECT slug, collection_identifier, records, first_date, {', '.join(f'{rs(f"sma{p}")} AS sma{p}' for p in _LOOSE)},
  days_present, 200 - days_present AS days_missing FROM ids JOIN whole USING (collection_identifier)
  {' '.join(f'LEFT JOIN a{p} USING (collection_identifier)' for p in _LOOSE)}""")(
@@ -266,9 +260,27 @@ add("chart_grid", f"""WITH {panel_sql('p_brand')}, recent AS (SELECT * FROM pane
     .select("slug", "chain", "k", r("at_day").alias("at_day"), r("floor_native", 5).alias("floor_native")))
 
 
-@query("chart_data")
-def chart_data(s, sf):
-    return R.chart_data(fx.panel(s, sf, "p_type"), ["slug", "chain"], AS_OF, 365)
+def _chart_sql(key, days, spans):
+    """The grid of ``chart_grid`` with averages that end on the day of each point."""
+    return f"""WITH {panel_sql(key)}, recent AS (SELECT * FROM panel WHERE date >= DATE '{AS_OF}' - {days}), {_GRID},
+ points AS (SELECT lo.slug, lo.chain, lo.k, at_day, CAST(floor(at_day + 1e-9) AS BIGINT) AS end_day,
+  CASE WHEN dh = dl THEN a.v ELSE a.v + (b.v - a.v) * (at_day - dl) / (dh - dl) END AS price
+  FROM lo JOIN hi USING (slug, chain, k) JOIN pts a ON a.slug = lo.slug AND a.chain = lo.chain AND a.day = dl
+  JOIN pts b ON b.slug = lo.slug AND b.chain = lo.chain AND b.day = dh),
+ ends AS (SELECT DISTINCT slug, chain, end_day FROM points), obs AS (SELECT slug, chain, day, floor_native AS v FROM recent),
+ {filled_day_by_day_sql('m', 'ends', 'obs', ['slug', 'chain'], spans)}
+ SELECT slug, chain, k, {rs('at_day')} AS at_day, {rs('price', 4)} AS floor_native, {', '.join(f'{rs(f"sma{p}", 4)} AS sma{p}' for p in spans)}
+ FROM points {' '.join(f'LEFT JOIN m{p} USING (slug, chain, end_day)' for p in spans)}"""
+
+
+def _chart(s, sf, key, days, allowed):
+    d = R.chart_data(fx.panel(s, sf, key), ["slug", "chain"], AS_OF, days, allowed=allowed)
+    smas = [c for c in d.columns if c.startswith("sma")]
+    return d.select("slug", "chain", "k", r("at_day").alias("at_day"), *[r(c, 4).alias(c) for c in ("floor_native", *smas)])
+
+
+add("chart_data", _chart_sql("p_type", 365, codes.SMA_SPANS))(lambda s, sf: _chart(s, sf, "p_type", 365, codes.SMA_SPANS))
+add("chart_averages", _chart_sql("p_brand", 100, {p: _LOOSE[p] for p in (20, 50)}))(lambda s, sf: _chart(s, sf, "p_brand", 100, _LOOSE))
 
 
 # --- crossovers -----------------------------------------------------------------------------
@@ -342,15 +354,17 @@ def _fx(c, n):
 
 _ALERTS = f"""{_FLAGS}, {_META}, unsent AS (SELECT * FROM stored WHERE is_native AND NOT x_sent),
  quota AS (SELECT DISTINCT date, slug, chain FROM unsent ORDER BY date, slug, chain LIMIT 5),
- alerts AS (SELECT s.*, p.chain_currency_symbol AS sym, p.unique_owners, p.total_supply, p.listed_count, name, x_page,
+ alerts AS (SELECT s.*, p.chain_currency_symbol AS sym, p.unique_owners, p.total_supply, p.listed_count, p.contract_address, p.best_price_url, name, x_page,
   q.slug IS NOT NULL AND NOT s.x_sent AS post_now, NOT telegram_sent AS send_now
   FROM stored s JOIN panel p ON p.slug = s.slug AND p.chain = s.chain AND p.date = s.date LEFT JOIN meta m ON m.slug = s.slug
   LEFT JOIN quota q ON q.slug = s.slug AND q.chain = s.chain AND q.date = s.date WHERE is_native)"""
 _TEXT = f"""slug || ' on ' || chain || ' ' || CAST(date AS VARCHAR) || ' | rank ' || coalesce(CAST(ranking AS VARCHAR), 'N/A') || ' | floor ' || {_fx('floor_native', 4)} || ' ' || coalesce(sym, '')
  || ' / $' || {_fx('floor_usd', 2)} || ' | MA20 ' || {_fx('ma_short', 4)} || ' > MA50 ' || {_fx('ma_long', 4)} || ' ' || coalesce(sym, '')
- || ' | owners ' || unique_owners || ', supply ' || total_supply || ', listed ' || listed_count"""
+ || ' | owners ' || unique_owners || ', supply ' || total_supply || ', listed ' || listed_count
+ || ' | contract ' || coalesce(contract_address, 'N/A') || ' | best price ' || coalesce(best_price_url, '')"""
 _POST = f"""name || ' by ' || coalesce(x_page, slug) || ' on #' || chain || ': MA20 (' || {_fx('ma_short', 4)} || ' ' || coalesce(sym, '') || ') > MA50 (' || {_fx('ma_long', 4)} || ' ' || coalesce(sym, '')
- || ') #' || replace(replace(name, ' ', ''), '-', '')"""
+ || '), floor ' || {_fx('floor_native', 4)} || ' ' || coalesce(sym, '') || ' (~$' || {_fx('floor_usd', 2)} || '), ' || total_supply || ' supply, ' || unique_owners
+ || ' owners, ' || listed_count || ' listed #' || replace(replace(name, ' ', ''), '-', '') || coalesce(' ' || best_price_url, '')"""
 add("alert_feed", f"""WITH {_ALERTS} SELECT slug, chain, date, send_now, post_now, NOT x_sent AND NOT post_now AS carried_over, {_TEXT} AS alert_text, {_POST} AS post_text FROM alerts""")(
     lambda s, sf: (lambda d: d.select("slug", "chain", "date", "send_now", "post_now", "carried_over",
                                       R.S.alert_text().alias("alert_text"), R.S.post_text().alias("post_text")))(

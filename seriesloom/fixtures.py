@@ -71,6 +71,8 @@ def panel(spark: SparkSession, sf: str, key: str = "p_brand", ranked: bool = Fal
         F.count_distinct("l_partkey").alias("total_supply"),
     )
     daily = (daily.withColumn("collection_identifier", F.concat(F.lit("id-"), "slug"))
+                  .withColumn("contract_address", F.when(F.length("slug") % 3 != 0, F.md5("slug")))
+                  .withColumn("best_price_url", F.when(F.dayofmonth("date") % 3 != 0, F.concat(F.lit("https://best.example/"), "slug")))
                   .withColumn("chain_currency_symbol", S.chain_symbol("chain"))
                   .withColumn("day", S.day_number("date")))
     if ranked:

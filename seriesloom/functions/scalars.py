@@ -226,16 +226,21 @@ def alert_text() -> Column:
                  shown("ma_long_period"), F.lit(" "), fixed("ma_long", 4), F.lit(" "), cur),
         F.concat(F.lit("owners "), shown("unique_owners"), F.lit(", supply "), shown("total_supply"),
                  F.lit(", listed "), shown("listed_count")),
+        F.concat(F.lit("contract "), shown("contract_address")),
+        F.concat(F.lit("best price "), F.coalesce(col("best_price_url"), F.lit(""))),
     )
 
 
 def post_text() -> Column:
-    """Short post of the same row: display name, handle, hash tag and the crossing."""
+    """Short post of the same row: display name, handle, hash tag, the crossing, floor prices, counts and the link."""
     cur = currency_suffix("is_native", "chain_currency_symbol")
     name = F.coalesce(col("name"), col("slug"))
     return F.concat(
         name, F.lit(" by "), F.coalesce(col("x_page"), col("slug")), F.lit(" on #"), shown("chain"),
         F.lit(": MA"), shown("ma_short_period"), F.lit(" ("), fixed("ma_short", 4), F.lit(" "), cur,
         F.lit(") > MA"), shown("ma_long_period"), F.lit(" ("), fixed("ma_long", 4), F.lit(" "), cur,
-        F.lit(") #"), hash_tag(name),
+        F.lit("), floor "), fixed("floor_native", 4), F.lit(" "), F.coalesce(col("chain_currency_symbol"), F.lit("")),
+        F.lit(" (~$"), fixed("floor_usd", 2), F.lit("), "), shown("total_supply"), F.lit(" supply, "), shown("unique_owners"),
+        F.lit(" owners, "), shown("listed_count"), F.lit(" listed #"), hash_tag(name),
+        F.coalesce(F.concat(F.lit(" "), col("best_price_url")), F.lit("")),
     )

@@ -72,7 +72,7 @@ def days_present(df: DataFrame, keys: list[str], spans: list[int]) -> DataFrame:
 
 def sma_as_of(df: DataFrame, keys: list[str], value: str, as_of: dt.date, spans: dict[int, int],
               present_span: int) -> DataFrame:
-    """One row per entity: averages ending on ``as_of``, days present and missing, history size.
+    """One row per entity: averages ending on ``as_of``, days present and missing, size of the history up to then.
 
     Only the longest span is windowed (the gap that opens before a frame never counts), so the
     date bound reaches the scan; row count and first date are a plain aggregate beside it.
@@ -99,7 +99,7 @@ def sma_as_of(df: DataFrame, keys: list[str], value: str, as_of: dt.date, spans:
         total = F.col(f"s{span}") - a["_gap"] + (a["day"] - (end - span + 1)) * a["v"] + (end - z["day"]) * z["v"]
         smas.append(F.when((n > 0) & (span - n <= allowed), total / span).alias(f"sma{span}"))
     recent_part = agg.select(*keys, *smas, "days_present")
-    whole = df.groupBy(*keys).agg(F.count("*").alias("records"), F.min("date").alias("first_date"))
+    whole = df.filter(F.col("date") <= F.lit(as_of)).groupBy(*keys).agg(F.count("*").alias("records"), F.min("date").alias("first_date"))
     present = F.coalesce("days_present", F.lit(0))
     return (whole.join(recent_part, keys, "left")
                  .select(*keys, "records", "first_date", *[f"sma{p}" for p in spans],

@@ -148,8 +148,8 @@ def enrich_alerts(crosses: DataFrame, panel: DataFrame, metadata: DataFrame) ->
     """Crossovers with their price row (required) and their metadata row (optional)."""
     info = ["contract_address", "chain_currency_symbol", "unique_owners", "total_supply", "listed_count",
             "best_price_url"]
-    have = [c for c in info if c in panel.columns]
-    prices = panel.groupBy("slug", "chain", "date").agg(F.max(F.struct(*have)).alias("p")) \
+    panel = panel.withColumns({c: F.lit(None).cast("string") for c in info if c not in panel.columns})
+    prices = panel.groupBy("slug", "chain", "date").agg(F.max(F.struct(*info)).alias("p")) \
                   .select("slug", "chain", "date", "p.*")
     meta = metadata.groupBy("slug").agg(
         F.max(F.struct(S.blank_to_null("x_page").alias("x_page"),

@@ -126,11 +126,12 @@ def cross_recap(stored: DataFrame, panel: DataFrame, as_of: dt.date, days: int =
     return crosses.recap(rows, panel)
 
 
-def chart_data(prices: DataFrame, keys: list[str], as_of: dt.date, days: int, value: str = "floor_native") -> DataFrame:
-    """Interpolated price on an even grid and the averages the period is long enough for."""
+def chart_data(prices: DataFrame, keys: list[str], as_of: dt.date, days: int, value: str = "floor_native",
+               allowed: dict[int, int] = codes.SMA_SPANS) -> DataFrame:
+    """Interpolated price on an even grid and the averages the period is long enough for, each with the missing days ``allowed``."""
     recent = lookups.since(prices, as_of, days).select(*keys, "day", value)
     grid = asof.even_grid(recent, keys, value)
-    spans = {p: codes.SMA_SPANS[p] for p, least in codes.CHART_SPANS.items() if days >= least}
+    spans = {p: allowed[p] for p, least in codes.CHART_SPANS.items() if days >= least}
     if not spans:
         return grid
     days_needed = grid.select(*keys, "day").distinct().withColumn(value, F.lit(None).cast("double"))

@@ -74,3 +74,8 @@ ENTITY_REPLY = ("sentiment_score int, sentiment_category string, bullish_indicat
 
 def schema(name: str) -> StructType:
     return _struct(TABLES[name])
+
+
+def fields(name: str) -> dict[str, str]:
+    """Columns of a table and their types as written, without a session."""
+    return dict(field.split() for field in TABLES[name].split(", "))

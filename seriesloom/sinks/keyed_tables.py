@@ -115,13 +115,16 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def declare(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Create an empty table unless it is there."""
+    """Create an empty table unless it is there.
+
+    The empty file is appended, so that an append or another declaration that comes between the check and the write loses nothing.
+    """
     if not _path_exists(spark, path):
-        spark.createDataFrame([], schema).write.parquet(path)
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
 
 def table_checks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Existence and row count of each table."""
+    """Existence and row count of each table; the counts read no column, which Parquet answers from its footers."""
     out = None
     for name, path in paths.items():
         there = _path_exists(spark, path)

@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom import schemas
 from seriesloom.functions import codes
@@ -39,6 +40,28 @@ def rejected_files(spark: SparkSession, path: str, item: str) -> DataFrame:
     return text.filter(_items("value", item).isNull()).select("file")
 
 
+def snapshot_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items of multi-line JSON files in one streaming read: file, outcome (item, empty, rejected), reason, item.
+
+    A file holds an array of items or an object with the array under ``data`` (an empty one is told as such). What is no
+    JSON, an object of another kind and an element without any known field come as one rejected row each. A file that is one bare
+    item counts as an array of one: use ``read_items`` where that must be told apart, at the price of a text per file.
+    """
+    item = schemas._struct(schemas.SNAPSHOT_ITEM[len("struct<"):-1])
+    schema = T.StructType([*item.fields, T.StructField("data", T.ArrayType(item)), T.StructField("_corrupt_record", T.StringType())])
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    read = read.select("*", F.col("_metadata.file_path").alias("file"))
+    known = F.lit(False)
+    for name in item.names:
+        known = known | F.col(name).isNotNull()
+    one = F.when(known, F.array(F.struct(*item.names)))
+    items = F.when(F.col("_corrupt_record").isNull(), F.coalesce("data", one))
+    rows = read.select("file", F.col("data").isNotNull().alias("_list"), F.substring("_corrupt_record", 1, 200).alias("reason"),
+                       F.explode_outer(items).alias("item"))
+    outcome = F.when(F.col("item").isNotNull(), "item").when(F.col("_list"), "empty").otherwise("rejected")
+    return rows.select("file", outcome.alias("outcome"), "reason", "item")
+
+
 def keep_raw(raw: DataFrame, landing: str, date: dt.date) -> None:
     """Keep a payload as dated JSON files."""
     raw.write.mode("append").json(f"{landing}/date={date.isoformat()}")
@@ -92,6 +115,7 @@ def metadata_rows(items: DataFrame, item: str = "item") -> DataFrame:
     return rows.withColumn("outcome", F.when(usable, "usable").otherwise("error"))
 
 
+#: Columns on which stored metadata is compared.
 METADATA_MATCH = ["collection_identifier", "slug", "name", "chain", "chain_currency_symbol", "categories"]
 
 # --- coins and the index --------------------------------------------------------------------
