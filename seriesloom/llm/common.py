@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import threading
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ _SPACES = "\t\n\x0b\x0c\r"
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 _MADE: list[tuple[SparkSession, str]] = []
+_OPEN = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,27 +40,53 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one; it is removed when the driver's Python ends."""
+def new_folder(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A fresh folder below the shared one; it is removed when the driver's Python ends, or with the ``scratch`` around it
+    (``outer``: with the one around that)."""
     if not _MADE:
         atexit.register(_remove_made)
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _MADE.append((spark, folder))
+    scopes = getattr(_OPEN, "scopes", [])
+    if len(scopes) > outer:
+        scopes[-1 - outer].append((spark, folder))
     return folder
 
 
+@contextmanager
+def scratch(keep: bool = False):
+    """Folders made inside are removed at the end; with ``keep`` they are only listed, for ``remove`` to take later."""
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    made: list[tuple[SparkSession, str]] = []
+    _OPEN.scopes.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.scopes.remove(made)
+        if not keep:
+            remove(made)
+
+
+def remove(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, folder in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gone = {folder for _, folder in made}
+    _MADE[:] = [x for x in _MADE if x[1] not in gone]
+    made.clear()
+
+
 def _remove_made() -> None:
-    for spark, folder in _MADE:
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM has gone already; the cluster's own clean-up has to do it
-            return
+    try:
+        remove(list(_MADE))
+    except Exception:  # the JVM has gone already; the cluster's own clean-up has to do it
+        return
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: later uses neither repeat nor lose it."""
-    folder = new_folder(df.sparkSession, name)
+    folder = new_folder(df.sparkSession, name, outer)
     df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

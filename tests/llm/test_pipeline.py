@@ -75,6 +75,39 @@ def test_no_near_pair_stays_and_the_order_decides(spark):
     assert sorted(r["doc_id"] for r in neardup.without_near_copies(docs, few=0, pairs=0).collect()) == want
 
 
+def test_a_template_is_compared_in_proportion(spark, monkeypatch):
+    """Texts of one template, each with words of its own, are not near; twice as many make about twice the comparisons."""
+    rnd, seen = random.Random(8), []
+    plain = neardup._near
+
+    def counted(pairs, *rest):
+        seen[-1] += pairs.count()
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_near", counted)
+    template = [f"t{k}" for k in range(104)]
+    for n in (500, 2000):
+        seen.append(0)
+        rows = [(i, " ".join(template + [f"o{rnd.random()}" for _ in range(20)])) for i in range(n)]
+        assert neardup.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count() == n
+    assert seen[1] <= 6 * seen[0] + 4 * 2000
+
+
+def test_scratch_goes_with_the_next_stage(spark, steps):
+    from pathlib import Path
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in base.iterdir()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    left = {p.name.split("-")[0] for p in base.iterdir() if p.name not in before}
+    assert left == {"marked", "stays"}
+    assert kept.count() < docs.count()
+    corpus_pipeline.source_mixture(spark, docs, SF)
+    assert not any(p.name.startswith(("marked-", "stays-")) for p in base.iterdir() if p.name not in before)
+    assert corpus_pipeline.run(spark, SF).count() == len(steps[5])
+    assert not any(p.name.startswith(("marked-", "stays-", "entries-", "chunks-")) for p in base.iterdir() if p.name not in before)
+
+
 def test_the_pipeline_leaves_no_near_pair(steps):
     sets = [neardup.shingle_set((r["text"] or "").encode()) for r in steps[2]]
     assert not any(neardup.similarity(a, b) >= 0.8 for k, a in enumerate(sets) for b in sets[:k])
@@ -132,7 +165,7 @@ def test_stages_take_odd_and_no_rows(spark, odd_docs, no_docs):
 def test_every_operator_is_registered_once():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
 
 
 def test_the_library_stands_without_this_package(tmp_path):
