@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import alignment, bpe, langid, lm, mixing, packing, quality, repair, simhash, spans, tokenfile, urls, vptree
+from seriesloom.llm import alignment, bpe, langid, lm, mixing, oracles, packing, quality, repair, simhash, spans, tokenfile, urls, vptree
 from seriesloom.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,7 +82,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
-@query("op12_structure_repair")
+@query("op12_structure_repair", oracles.REPAIR)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
 

@@ -4,10 +4,11 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.llm import repair
+from seriesloom.llm import oracles, repair
 
 ROWS = "conv_id long, turn long, role string, text string"
 WORD = re.compile("[^\x20\x09-\x0D]")
@@ -184,3 +185,17 @@ def test_damage_and_empty_tables(spark):
     assert got == sorted(want, key=str)
     assert repair.repaired_conversations(frame.where("false")).count() == 0
     assert repair.repaired_conversations(frame).select("conv_id").distinct().count() == 31
+
+
+def test_the_sql_says_the_same(spark, tmp_path):
+    rnd, rows = random.Random(13), []
+    for conv in [None, *range(60)]:
+        for role, text in random_rows(rnd, rnd.randint(1, 9)):
+            rows.append((conv, rnd.choice([None, 0, 1, 2, 5, 7]), None if rnd.random() < 0.1 else role, None if rnd.random() < 0.1 else text))
+    frame = spark.createDataFrame(rows, ROWS).repartition(3)
+    frame.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = con.execute(oracles.REPAIR).fetchall()
+    found = repair.repaired_conversations(frame).collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, want)) and len(found) == 61
