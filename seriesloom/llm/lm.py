@@ -1,19 +1,20 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of all n-grams come from whole training texts. Unigram counts stay exact and travel back to the chunks of texts
-that hold the words. Bigram counts are quantised to powers of two, level 1 + floor(log2(count / FEWEST)), and a bigram
+that hold the words. Bigram counts are quantised to powers of two, level 1 + floor(log2(count)), and a bigram
 of level q goes into a Bloom filter as the q pairs (bigram, 1) ... (bigram, q). To look one up, its pairs are probed
 from level 1 until one is missing; a wrong hit can only raise a level, and needs all HASHES bits of it set by others.
 
-The filter holds all levels and has as many bits as keep it half empty, found from the histogram of all levels, at least
-FILTER_BITS. It is built in parts: each range of the hash space owns a part of the bits. A filter of FILTER_BITS is
-broadcast; a larger one stays in its parts, and chunks ask the parts about their bigrams by lists, as for unigrams.
+Each range of the hash space owns a part of the filter, with as many bits as keep it half empty with all levels of all its
+bigrams, single ones too. A chunk sends each range one list of its unigrams and bigrams with their counts in training
+texts, 0 included; the range adds them up, builds its part, probes it for each list and sends back counts and levels. So
+a key travels once each way, and what is done is the same at every size. The parts are not broadcast: together they grow with the corpus.
 
 score is the sum of log10(LAMBDA * c(v, w) / c(v) + (1 - LAMBDA) * p(w)), where p(w) is the smoothed unigram
 probability and c(v, w) the middle of the stored level, at most c(v).
 
 Null text is empty and has one token, the end. A null doc_id counts as the empty text in crc32 (hence held out).
-Repeated rows are texts of their own. Without training texts every count is 0, and N and V are 0.
+Repeated rows are texts of their own. Without training texts every count is 0, and N and V are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm import exchange as ex
-from seriesloom.llm.common import staged
+from seriesloom.llm.common import staged, tidy
 
-FILTER_BITS, HASHES, FEWEST, LEVELS = 1 << 27, 6, 2, 40
+#: Half empty with so many hashes, one probe in a million hits by chance; a part stays where it is built, so its size costs no traffic.
+HASHES, LEVELS = 20, 40
 LAMBDA, ADDED, FOLDS = 0.5, 0.1, 10
+#: Bytes of a key in a list: its high bits are those of the range, so that keys of a range differ in these.
+WIDTH = 7
 _END, _START = (xxhash.xxh64_intdigest(x) for x in (b" end", b" start"))  # no words: they hold a space
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -75,187 +79,125 @@ class Tokens:
         return h ^ (h >> np.uint64(32))
 
 
-def ask(chunks: DataFrame, bigrams: bool) -> DataFrame:
-    """Lists of the keys of a chunk with their counts in its training texts."""
-    n = ex.n_ranges(chunks)
+def counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each is one of ``learn``."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(which[learn], minlength=len(distinct))
 
+
+def ask(chunks: DataFrame, n: int) -> DataFrame:
+    """For each chunk and range one list: the chunk's unigrams, then its bigrams, with their counts in its training texts."""
     def run(batches):
         for row in ex.rows_of(batches):
             t = Tokens(row)
             learn = ~t.held[t.doc]
-            if bigrams:
-                keys, counts = np.unique(t.bigrams()[learn], return_counts=True)
-            else:
-                keys, counts = t.keys, np.bincount(t.token[learn], minlength=len(t.keys))
-            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((keys[i:j], 8), (counts[i:j], 4))) for b, i, j in ex.ranges(keys, n)])
+            lists: dict[int, list[bytes]] = {}
+            unigrams = t.keys, np.bincount(t.token[learn], minlength=len(t.keys))
+            for k, (keys, counts) in enumerate((unigrams, counted(t.bigrams(), learn))):
+                for b, i, j in ex.ranges(keys, n):
+                    lists.setdefault(b, [_NOTHING, _NOTHING])[k] = ex.pack_columns((keys[i:j], WIDTH), (counts[i:j], 4))
+            yield ex.entry_batch(row["chunk"], [(b, len(x).to_bytes(4, "little") + x + y) for b, (x, y) in sorted(lists.items())])
 
-    return chunks.select("chunk", "body", "sizes", "rest").mapInArrow(run, ex.ENTRIES)
+    return chunks.select("chunk", "body", "sizes", "rest").mapInArrow(tidy(run), ex.ENTRIES)
 
 
-def summed(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Distinct keys, their counts, which of them each entry has, and the lengths of the lists."""
-    (keys, counts), lengths = ex.joined_lists(lists, 8, 4)
-    distinct, back = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(distinct), dtype=np.int64)
-    np.add.at(total, back, counts.astype(np.int64))
-    return distinct, total, back, lengths
+_NOTHING = ex.pack_columns((np.zeros(0, dtype=np.uint64), WIDTH), (np.zeros(0, dtype=np.uint64), 4))
 
 
-def count_answers(table: pa.Table) -> pa.Table:
-    """For each list the corpus counts of its keys; chunk -1: (all tokens, distinct tokens) of the range."""
-    _, total, back, lengths = summed([x.as_py() for x in table.column("entries")])
-    answers = ex.per_list(total[back].astype(np.uint64), lengths, 5)
-    known = np.array([total.sum(), (total > 0).sum()], dtype=np.uint64)
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"chunk": pa.concat_arrays([*table.column("chunk").chunks, pa.array([-1], type=pa.int64())]),
-                     "bucket": pa.array([bucket] * (len(lengths) + 1), type=pa.int32()),
-                     "answer": pa.array([*answers, ex.pack_columns((known, 8))], type=pa.binary())})
+def two(entry: bytes) -> tuple[bytes, bytes]:
+    n = 4 + int.from_bytes(entry[:4], "little")
+    return entry[4:n], entry[n:]
 
 
-def quantised(table: pa.Table) -> pa.Table:
-    """Per range: keys of bigrams seen FEWEST times or more, with their levels; and how many have each level."""
-    keys, total, _, _ = summed([x.as_py() for x in table.column("entries")])
-    often = total >= FEWEST
-    level = np.minimum(LEVELS, 1 + np.floor(np.log2(total[often] / FEWEST))).astype(np.uint64)
-    return pa.table({"bucket": table.column("bucket").slice(0, 1), "kept": pa.array([ex.pack_columns((keys[often], 8), (level, 1))], type=pa.binary()),
-                     "levels": pa.array([np.bincount(level.astype(int), minlength=LEVELS + 1).tolist()], type=pa.list_(pa.int64()))})
+def summed(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys, their counts, which of them each entry has, and the lengths of the lists."""
+    (keys, counts), lengths = ex.joined_lists(lists, WIDTH, 4)
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(back, counts.astype(np.float64), len(distinct)).astype(np.int64), back, lengths
 
 
 class Filter:
-    """Bits of one range or of all ranges."""
+    """A part of the filter: bits for ``entries`` pairs of a key and a level, half of them set."""
 
-    def __init__(self, ranges: int, lowest: int, bits: int = FILTER_BITS):
-        self.ranges, self.lowest = ranges, lowest
-        self.part = max(8, bits // ranges // 8 * 8)
+    def __init__(self, entries: int):
+        self.size = max(64, int(np.ceil(entries * HASHES / np.log(2))))
 
     def places(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """HASHES bits inside the part of the range, for each key at a level."""
+        """HASHES bits for each key at a level."""
         one = (keys ^ (keys >> np.uint64(33))) * (_A + np.uint64(2 * level))
         two = ((keys ^ (keys >> np.uint64(28))) * (_B + np.uint64(2 * level))) | np.uint64(1)
         k = np.arange(HASHES, dtype=np.uint64)
         mixed = (one[:, None] ^ (one[:, None] >> np.uint64(32))) + k * (two[:, None] >> np.uint64(20))
-        return ((mixed & np.uint64(0xFFFFFFFF)) * np.uint64(self.part) >> np.uint64(32)).astype(np.int64)
+        return ((mixed & np.uint64(0xFFFFFFFF)) * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
 
-    def build(self, keys: np.ndarray, levels: np.ndarray) -> bytes:
-        cells = np.zeros(self.part, dtype=bool)
-        for level in range(self.lowest, int(levels.max(initial=0)) + 1):
-            # a key below the lowest stored level is left out as a whole
+    def build(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        cells = np.zeros(self.size, dtype=bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
             cells[self.places(keys[levels >= level], level)] = True
-        return np.packbits(cells, bitorder="little").tobytes()
-
-    def levels(self, bits: np.ndarray, keys: np.ndarray, one: bool = False) -> np.ndarray:
-        """Level of each key, 0 if it is not there, by probing one level after the other; ``one``: bits of their range only."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        base = np.zeros(len(keys), dtype=np.int64) if one else (((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)).astype(np.int64) * self.part
-        at = np.arange(len(keys))
-        for level in range(self.lowest, LEVELS + 1):
-            place = self.places(keys[at], level) + base[at][:, None]
-            hit = ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).all(axis=1)
-            at = at[hit]
+        return np.packbits(cells, bitorder="little")
+
+    def levels(self, bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Level of each key, 0 if it is not there, by probing one level after the other."""
+        out, at = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        for level in range(1, LEVELS + 1):
+            place = self.places(keys[at], level)
+            at = at[((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1).all(axis=1)]
             if not len(at):
                 break
             out[at] = level
         return out
 
 
-def lowest_level(histogram: np.ndarray, bits: int = FILTER_BITS) -> int:
-    """Least level to store so that at most half of the bits are set."""
-    room = np.log(2) * bits / HASHES
-    for lowest in range(1, LEVELS + 1):
-        levels = np.arange(lowest, LEVELS + 1)
-        if (histogram[lowest:] * (levels - lowest + 1)).sum() <= room:
-            return lowest
-    return LEVELS
+def quantised(counts: np.ndarray) -> np.ndarray:
+    return np.where(counts > 0, np.minimum(LEVELS, 1 + np.floor(np.log2(np.maximum(counts, 1)))), 0).astype(np.int64)
 
 
-def bits_needed(histogram: np.ndarray) -> int:
-    """Bits with which a filter of all levels is half empty, at least FILTER_BITS."""
-    return max(FILTER_BITS, int(np.ceil((histogram * np.arange(len(histogram))).sum() * HASHES / np.log(2))))
+def middle(levels: np.ndarray) -> np.ndarray:
+    """Mean of the counts of a level: 1 of the first, 2.5 of the second; 0 of none."""
+    return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def levels_by_range(chunks: DataFrame, parts: DataFrame, shape: Filter) -> DataFrame:
-    """chunk, levels: the levels of all bigrams of a chunk, as lists by bucket, from the part of each range."""
-    def ask_all(batches):
-        for row in ex.rows_of(batches):
-            keys = np.unique(Tokens(row).bigrams())
-            yield ex.entry_batch(row["chunk"], [(b, ex.pack_columns((keys[i:j], 8))) for b, i, j in ex.ranges(keys, shape.ranges)])
-
-    def probe(asked: pa.Table, part: pa.Table) -> pa.Table:
-        bits = np.frombuffer(part.column("bits")[0].as_py(), dtype=np.uint8) if part.num_rows else None
-        answers = []
-        for entry in asked.column("entries"):
-            keys = ex.unpack_columns(entry.as_py(), 8)[0]
-            level = np.zeros(len(keys), dtype=np.int64) if bits is None else shape.levels(bits, keys, one=True)
-            answers.append(ex.pack_columns((level.astype(np.uint64), 1)))
-        return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "answer": pa.array(answers, type=pa.binary())})
-
-    asked = chunks.select("chunk", "body", "sizes", "rest").mapInArrow(ask_all, ex.ENTRIES)
-    replies = asked.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(probe, "chunk long, bucket int, answer binary")
-    return staged(replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("levels")), "levels")
-
-
-class Model:
-    """What scoring needs: N, V, and the filter, broadcast (bits) or else the levels of each chunk's bigrams."""
-
-    def __init__(self, chunks: DataFrame, broadcast_bits: int = FILTER_BITS):
-        spark, n = chunks.sparkSession, ex.n_ranges(chunks)
-        replies = ask(chunks, False).groupBy("bucket").applyInArrow(count_answers, "chunk long, bucket int, answer binary")
-        self.replies = staged(replies, "counts")
-        # one row for each range
-        stats = [ex.unpack_columns(r["answer"], 8)[0] for r in self.replies.where(F.col("chunk") == -1).select("answer").toLocalIterator()]
-        self.n_tokens, self.n_distinct = (int(sum(int(s[k]) for s in stats)) for k in (0, 1))
-        kept = staged(ask(chunks, True).groupBy("bucket").applyInArrow(quantised, "bucket int, kept binary, levels array<long>"), "bigrams")
-        histogram = np.zeros(LEVELS + 1, dtype=np.int64)
-        for row in kept.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect():
-            histogram[row["level"]] = row["n"]
-        needed = bits_needed(histogram)
-        self.filter = shape = Filter(n, 1, needed)
-
-        def build(batches):
-            for row in ex.rows_of(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([row["bucket"]], type=pa.int32()), pa.array([shape.build(*_keys_levels(row["kept"]))], type=pa.binary())],
-                                                 names=["bucket", "bits"])
-
-        parts = kept.select("bucket", "kept").mapInArrow(build, "bucket int, bits binary")
-        self.bits = self.levels = None
-        if needed > broadcast_bits:
-            self.levels = levels_by_range(chunks, parts, shape)
-            return
-        bits = bytearray(shape.part * n // 8)  # at most ``broadcast_bits``, or 8 bits for each range
-        for row in parts.toLocalIterator():
-            bits[row["bucket"] * shape.part // 8:(row["bucket"] + 1) * shape.part // 8] = row["bits"]
-        self.bits = spark.sparkContext.broadcast(bytes(bits))
-
-
-def _keys_levels(kept: bytes) -> tuple[np.ndarray, np.ndarray]:
-    keys, levels = ex.unpack_columns(kept, 8, 1)
-    return keys, levels.astype(np.int64)
-
-
-def scored(docs: DataFrame, broadcast_bits: int = FILTER_BITS) -> DataFrame:
+def range_answers(table: pa.Table) -> pa.Table:
+    """For each list of a range the corpus counts of its unigrams and the levels of its bigrams; chunk -1: (all tokens, distinct tokens)."""
+    both = [two(x.as_py()) for x in table.column("entries")]
+    _, total, back, lengths = summed([x for x, _ in both])
+    counts = ex.per_list(total[back].astype(np.uint64), lengths, 5)
+    known = ex.pack_columns((np.array([total.sum(), (total > 0).sum()], dtype=np.uint64), 8))
+    keys, total, back, lengths = summed([x for _, x in both])
+    level = quantised(total)
+    part = Filter(int(level.sum()))
+    found = part.levels(part.build(keys[level > 0], level[level > 0]), keys)
+    levels = ex.per_list(found[back].astype(np.uint64), lengths, 1)
+    bucket = table.column("bucket")[0].as_py()
+    return pa.table({"chunk": pa.concat_arrays([*table.column("chunk").chunks, pa.array([-1], type=pa.int64())]),
+                     "bucket": pa.array([bucket] * (len(counts) + 1), type=pa.int32()),
+                     "counts": pa.array([*counts, known], type=pa.binary()), "levels": pa.array([*levels, None], type=pa.binary())})
+
+
+def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (the model's)."""
     chunks = ex.pack(docs.select("doc_id", "text"))
-    model = Model(chunks, broadcast_bits)
-    n, shape, broadcast = model.n_tokens, model.filter, model.bits
-    bottom = n + ADDED * (model.n_distinct + 1)
-    answers = (model.replies.where(F.col("chunk") >= 0).groupBy("chunk")
-               .agg(F.array_sort(F.collect_list(F.struct("bucket", "answer"))).alias("answers")))
+    replies = staged(ask(chunks, ex.n_ranges(chunks)).groupBy("bucket").applyInArrow(
+        range_answers, "chunk long, bucket int, counts binary, levels binary"), "answers")
+    # one row for each range
+    stats = [ex.unpack_columns(r["counts"], 8)[0] for r in replies.where(F.col("chunk") == -1).select("counts").toLocalIterator()]
+    n, distinct = (int(sum(int(s[k]) for s in stats)) for k in (0, 1))
+    bottom = n + ADDED * (distinct + 1)
+    answers = (replies.where(F.col("chunk") >= 0).groupBy("chunk")
+               .agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "levels"))).alias("answers")))
 
     def run(batches):
-        bits = None if broadcast is None else np.frombuffer(broadcast.value, dtype=np.uint8)
         for row in ex.rows_of(batches):
             t = Tokens(row)
-            count = np.concatenate([ex.unpack_columns(a["answer"], 5)[0] for a in row["answers"]]).astype(np.float64)
+            count = np.concatenate([ex.unpack_columns(a["counts"], 5)[0] for a in row["answers"]]).astype(np.float64)
             unigram = (count + ADDED) / bottom
             end = int(np.searchsorted(t.keys, np.uint64(_END)))
             before = np.r_[end, t.token[:-1]]
             before[t.starts] = end  # as many starts as ends
-            pairs, back = np.unique(t.bigrams(), return_inverse=True)
-            level = shape.levels(bits, pairs) if bits is not None else np.concatenate([ex.unpack_columns(a["answer"], 1)[0] for a in row["levels"]]).astype(np.int64)
-            level = level[back]
+            _, back = np.unique(t.bigrams(), return_inverse=True)
+            level = np.concatenate([ex.unpack_columns(a["levels"], 1)[0] for a in row["answers"]]).astype(np.int64)[back]
             context = count[before]
-            seen = np.where(level > 0, FEWEST * 1.5 * 2.0 ** (level - 1), 0.0)
-            bigram = np.minimum(seen, context) / np.maximum(context, 1.0)
+            bigram = np.minimum(middle(level), context) / np.maximum(context, 1.0)
             p = unigram[t.token]
             sums = [np.add.reduceat(x, t.starts) for x in (np.log10(p), np.log10(LAMBDA * bigram + (1 - LAMBDA) * p))]
             known = np.add.reduceat((count[t.token] > 0).astype(np.int64), t.starts)
@@ -263,8 +205,5 @@ def scored(docs: DataFrame, broadcast_bits: int = FILTER_BITS) -> DataFrame:
                 [pa.array(t.doc_ids, type=pa.int64()), pa.array(t.held), pa.array(t.lengths), pa.array(known), pa.array(np.full(len(t.lengths), n, dtype=np.int64)),
                  pa.array(sums[0]), pa.array(sums[1])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = chunks.join(answers, "chunk")
-    if model.levels is not None:
-        asked = asked.join(model.levels, "chunk")
-    return asked.drop("chunk").mapInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.join(answers, "chunk").drop("chunk").mapInArrow(
+        tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,9 +1,9 @@
-import functools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from seriesloom.llm import lm
 
@@ -19,7 +19,7 @@ def check(docs, exact_model=True):
 
     def bigram(a, b):
         seen, context = pairs[a, b], c[None] if a == 0 else c[a]
-        return min(3 * 2.0 ** math.floor(math.log2(seen / 2)) if seen > 1 else 0, context) / max(context, 1)
+        return min(1.5 * 2.0 ** math.floor(math.log2(seen)) - 0.5 if seen else 0, context) / max(context, 1)
 
     want = sorted((str(r["doc_id"]), h, len(ts), sum(c[t] > 0 for t in ts), n, round(sum(math.log10(p[t]) for t in ts), 6),
                    round(sum(math.log10(0.5 * bigram(a, b) + 0.5 * p[b]) for a, b in zip([0, *ts], ts)), 6)) for r, ts, h in zip(rows, tokens, held))
@@ -41,32 +41,31 @@ def test_only_held_out_texts(spark):
 
 def test_filter_never_loses_a_level_and_seldom_raises_one():
     rnd = np.random.default_rng(1)
-    keys, levels = rnd.integers(0, 1 << 64, 60_000, dtype=np.uint64), rnd.integers(1, 6, 60_000)
-    shape = lm.Filter(4, 1, bits=1 << 21)
-    owner = ((keys >> np.uint64(32)) * np.uint64(4)) >> np.uint64(32)
-    bits = np.frombuffer(b"".join(shape.build(keys[owner == k], levels[owner == k]) for k in range(4)), dtype=np.uint8)
-    got = shape.levels(bits, keys)
-    assert (got >= levels).all() and (got == levels).mean() > 0.9
-    strangers = shape.levels(bits, rnd.integers(0, 1 << 64, 60_000, dtype=np.uint64))
-    assert (strangers > 0).mean() < 0.1
-
-
-def test_lowest_level_keeps_the_filter_half_empty():
-    histogram = np.zeros(lm.LEVELS + 1, dtype=np.int64)
-    histogram[1:5] = 10_000, 5_000, 1_000, 100
-    assert lm.lowest_level(histogram, 1 << 24) == 1
-    assert lm.lowest_level(histogram, 1 << 15) > 1
-
-
-def test_filter_grows_with_its_entries_and_keeps_all_levels():
-    histogram = np.zeros(lm.LEVELS + 1, dtype=np.int64)
-    assert lm.bits_needed(histogram) == lm.FILTER_BITS
-    histogram[1:4] = 100_000_000, 30_000_000, 10_000_000
-    shape = lm.Filter(64, 1, lm.bits_needed(histogram))
-    assert shape.lowest == 1 and shape.part * 64 >= 0.99 * 190_000_000 * lm.HASHES / np.log(2)
-
-
-def test_parts_by_range_give_the_same_scores(odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(lm, "scored", functools.partial(lm.scored, broadcast_bits=0))
-    check(odd_docs)
-    assert lm.scored(no_docs).count() == 0
+    keys, levels = rnd.integers(0, 1 << 56, 60_000, dtype=np.uint64), rnd.integers(1, 6, 60_000)
+    part = lm.Filter(int(levels.sum()))
+    bits = part.build(keys, levels)
+    assert 0.45 < np.unpackbits(bits).mean() < 0.55  # its size follows what it holds
+    got = part.levels(bits, keys)
+    assert (got >= levels).all() and (got == levels).mean() > 0.95
+    assert (part.levels(bits, rnd.integers(0, 1 << 56, 60_000, dtype=np.uint64)) > 0).mean() < 0.05
+    assert lm.Filter(0).levels(lm.Filter(0).build(keys[:0], levels[:0]), keys).max() == 0
+
+
+def test_levels_and_their_middle():
+    counts = np.array([0, 1, 2, 3, 4, 7, 8, 1 << 50])
+    assert lm.quantised(counts).tolist() == [0, 1, 2, 2, 3, 3, 4, lm.LEVELS]
+    assert lm.middle(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2.5, 5.5]
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """A bigram seen once in training counts: a held-out text with a copy among the training texts scores higher than one without."""
+    rnd = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rnd.choice(words, 60)) for _ in range(300)]
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0][:40]
+    rows = [(i, texts[k] if k < 20 else " ".join(rnd.choice(words, 60))) for k, i in enumerate(held)]
+    train = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10][:300]
+    rows += list(zip(train, texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit("x")).withColumn("body", F.lit(1))
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in lm.scored(docs).where("held_out").collect()}
+    assert min(got[i] for i in held[:20]) > max(got[i] for i in held[20:])
