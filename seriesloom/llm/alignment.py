@@ -40,7 +40,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 #: Bytes of text and documents of a slice; a byte of a bitmap is named by 16 bits.
 SLICE, SLICE_DOCS = 8 << 20, 1 << 18
 #: Stretches that a worker remembers, in two generations; longer ones than LONG characters are encoded each time.
-REMEMBERED, LONG = 160_000, 100
+REMEMBERED, LONG = 300_000, 100
 #: Place of the byte (two bytes) and the byte itself.
 _CELL = 3
 
@@ -69,6 +69,7 @@ class Aligner:
             self.bytes_a[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.bytes_b = [self.piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.shown = [f"{i}{end}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for end in ends for i in range(n)]
         self.known: dict[str, Aligned] = {}
         self.older: dict[str, Aligned] = {}
 
@@ -80,7 +81,7 @@ class Aligner:
 
     def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of ``text``, which begins with a space, by A and B; None where their bytes do not restore it."""
-        ids_a = self.a.encode(text, add_special_tokens=False).ids
+        ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         ids_b = self.b.encode(text[1:]) or [self.b.piece_to_id("▁")]  # an empty text gets no space from B
         raw = text.encode()
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
@@ -102,12 +103,16 @@ class Aligner:
             return self.aligned(stretches[:half]) + self.aligned(stretches[half:])
         to_a, to_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
         links = (a[to_a - 1].astype(np.uint64) << np.uint64(32)) | b[to_b - 1].astype(np.uint64)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = [0, *to_a.tolist()], [0, *to_b.tolist()]
-        groups = [",".join(text_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g]:cut_b[g + 1]]) for g in range(len(common))]
-        out, at = [], 0
+        # ids as text with what follows them, group by group: A's, the last with a bar, then B's, the last with a semicolon
+        ends_group = np.zeros(len(a) + len(b), dtype=np.int64)
+        ends_group[to_a - 1] = ends_group[len(a) + to_b - 1] = 1
+        group = np.concatenate([2 * (np.cumsum(ends_group[:len(a)]) - ends_group[:len(a)]), 2 * (np.cumsum(ends_group[len(a):]) - ends_group[len(a):]) + 1])
+        number = np.concatenate([a, b + 2 * len(self.bytes_a)]) + ends_group * np.repeat([len(self.bytes_a), len(self.bytes_b)], [len(a), len(b)])
+        shown = list(map(self.shown.__getitem__, number[np.argsort(group, kind="stable")].tolist()))
+        cut_a, cut_b, out, at = [0, *to_a.tolist()], [0, *to_b.tolist()], [], 0
         for to in (last + 1).tolist():
-            out.append((cut_a[to] - cut_a[at], cut_b[to] - cut_b[at], ";".join(groups[at:to]), links[at:to].tobytes()))
+            x, y = cut_a[at] + cut_b[at], cut_a[to] + cut_b[to]
+            out.append((cut_a[to] - cut_a[at], cut_b[to] - cut_b[at], "".join(shown[x:y])[:-1], links[at:to].tobytes()))
             at = to
         return out
 

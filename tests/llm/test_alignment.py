@@ -38,11 +38,11 @@ def library():
 
 
 def groups_of(one, two):
-    ends = [np.cumsum([len(x) for _, x in t]).tolist() for t in (one, two)]
+    ends = [{end: k for k, end in enumerate(np.cumsum([len(x) for _, x in t]).tolist())} for t in (one, two)]
     common = sorted(set(ends[0]) & set(ends[1]))
     out, links, i, j = [], [], 0, 0
     for end in common:
-        x, y = ends[0].index(end) + 1, ends[1].index(end) + 1
+        x, y = ends[0][end] + 1, ends[1][end] + 1
         out.append(",".join(str(k) for k, _ in one[i:x]) + "|" + ",".join(str(k) for k, _ in two[j:y]))
         links.append((one[x - 1][0], two[y - 1][0]))
         i, j = x, y
