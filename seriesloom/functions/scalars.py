@@ -56,11 +56,6 @@ def offset_local_date(text: str | Column) -> Column:
     return F.when(valid & has_offset, F.to_date(F.split(t, " ")[0], "y-M-d"))
 
 
-def day_of(ts: str | Column) -> Column:
-    """Calendar date of a timestamp or of timestamp text."""
-    return F.to_date(col(ts))
-
-
 def day_number(date: str | Column) -> Column:
     """Days since 1970-01-01, the ordering column of every calendar frame."""
     return F.unix_date(col(date))
@@ -90,10 +85,6 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
-def relative_change(now: str | Column, before: str | Column) -> Column:
-    return ratio(now, before) - 1
-
-
 def blank_to_null(c: str | Column) -> Column:
     return F.nullif(col(c), F.lit(""))
 
