@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions import scalars as S
 from seriesloom.operators.averages import gap_filled_sma
 from seriesloom.operators.keyed import latest_row, series_window, spread
+from seriesloom.session import stored
 
 SERIES = ["slug", "chain", "is_native"]
 CROSS_KEY = ["date", "slug", "chain", "is_native", "ma_short_period", "ma_long_period"]
@@ -110,7 +111,7 @@ def detect_current_crosses(panel: DataFrame, short: int, long: int, short_gap: i
     The last two rows need no more than ``long`` days before the row before last. The days that each series still needs come from
     ``last_days`` and meet the rows ahead of the first exchange; the earliest of them reaches the scan as a literal.
     """
-    ends = last_days(panel).filter(F.col("n") > long)
+    ends = stored(last_days(panel).filter(F.col("n") > long), "series-ends")  # one row a series, asked three times
     needed = ends.groupBy("slug", "chain").agg((F.min("prev") - long).alias("_after"))
     first = needed.agg(F.min("_after")).first()[0]
     if first is not None:
