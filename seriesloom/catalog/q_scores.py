@@ -13,6 +13,7 @@ from seriesloom.catalog.q_features import LABEL_SQL, labelled
 from seriesloom.functions import scalars as S
 from seriesloom.operators import metrics as ME
 from seriesloom.operators import model as ML
+from seriesloom.session import stored
 
 _RULE = {"m1": "l_discount * 4 + l_tax", "0": "0.2 + abs(l_quantity - 25) / 50", "1": "l_tax * 6 + l_discount"}
 _SCORED_SQL = f"""scored0 AS (
@@ -124,6 +125,8 @@ _CUTOFF = dt.date(2000, 12, 31)
  FROM flagged f LEFT JOIN c ON c.label = f.label GROUP BY 1, 2""")
 def training_rows_until(spark, sf):
     rows = labelled(spark, sf).filter(F.col("label_binary").isNotNull() & (F.col("date") <= F.lit(_CUTOFF)))
+    # Count, cut, weights and the rows themselves each read them: labelled once.
+    rows = stored(rows.select("collection_identifier", "chain", "date", "label_binary"), "labelled")
     chosen = ML.training_rows(rows, "label_binary", 0.9, 1 << 40)
     return chosen.groupBy(F.col("label_binary").alias("label"), "is_val").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), r(F.max("weight")).alias("weight"))
