@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import public_tokenizers
 import zstandard
@@ -42,6 +43,8 @@ BLOCK = 1 << 16
 LEVEL = 1
 #: Distinct words that a worker remembers in two generations of half as many; longer ones than LONG are encoded each time.
 REMEMBERED, LONG = 400_000, 200
+#: Bytes of text that are encoded together: a word is looked up once in each.
+PIECE = 2 << 20
 
 
 # White space, letters and digits of Latin-1 as the vocabulary's own splitter takes them, lower case.
@@ -70,24 +73,37 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED // 2:  # the young table becomes the old one; what is met again comes back
             self.words, self.older = {}, self.words
-        split = [self.cut(text) for text in texts]
-        known, older, long = self.words, self.older, []
-        for word in {w for words in split if words for w in words if w not in known}:
-            if (ids := older.get(word)) is None:
-                ids = self.word(word)
-            known[word] = ids
-            if len(word) > LONG:
-                long.append(word)
-        out = [self.whole(text) if words is None else b"".join(map(known.__getitem__, words))
-               for text, words in zip(texts, split)]
+        plain = [self.plain(text) for text in texts]
+        ids = iter(self.by_words([text for text, cut in zip(texts, plain) if cut]))
+        return [next(ids) if cut else self.whole(text) for text, cut in zip(texts, plain)]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut at white space; each distinct word is looked up once."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, type=pa.large_string())))
+        coded = split.values.dictionary_encode()
+        known, older, found, long = self.words, self.older, [], []
+        for word in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
+            if (ids := known.get(word)) is None:
+                if (ids := older.get(word)) is None:
+                    ids = self.word(word)
+                known[word] = ids
+                if len(word) > LONG:
+                    long.append(word)
+            found.append(ids)
         for word in long:
             del known[word]
-        return out
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.concatenate([[0], n.cumsum()])
+        raw = flat[np.arange(ends[-1]) + np.repeat((sizes.cumsum() - sizes)[codes] - ends[:-1], n)].tobytes()
+        at = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def word(self, word: str) -> bytes:
         """Ids of a new word; parts of a word are words themselves, so that "end." finds "end"."""
-        parts = _PARTS.findall(word)
-        if len(parts) == 1:
+        if word.isalpha() or len(parts := _PARTS.findall(word)) == 1:
             return self.part(word)
         ids = []
         for part in parts:
@@ -105,15 +121,13 @@ class WordEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     @staticmethod
-    def cut(text: str) -> list[str] | None:
-        """Words of a Latin-1 text, lower-cased; None for texts that the library has to see whole."""
+    def plain(text: str) -> bool:
+        """Whether a text is Latin-1 and may be cut at white space; the library has to see others whole."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return None
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return None
-        return text.lower().split()
+            return False
+        return "<|" not in text and not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
 
 @lru_cache(maxsize=4)
@@ -128,7 +142,7 @@ def encode(docs: DataFrame, path: str | None = None, end: int | None = END) -> D
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 ids = word_encoder(path).encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], type=pa.binary())],
                                                  names=["doc_id", "ids"])

@@ -50,6 +50,29 @@ def test_words_equal_the_library():
         assert encoder.encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_word_is_looked_up_once_however_often_it_occurs():
+    library, encoder, looked = Tokenizer.from_file(PATH), tf.WordEncoder(PATH), []
+
+    class Counted(dict):
+        def get(self, key, *rest):
+            looked.append(key)
+            return super().get(key, *rest)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            looked.append(key)
+            return super().__contains__(key)
+
+    encoder.words = Counted()
+    texts = [" ".join(["some", "Words", "again", "été"] * 500), "", " \n", "again"] * 5 + ["中 some"]
+    assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert len(looked) <= 20
+    assert encoder.encode([]) == []
+
+
 def test_words_are_forgotten_in_two_generations(monkeypatch):
     monkeypatch.setattr(tf, "REMEMBERED", 40)
     monkeypatch.setattr(tf, "LONG", 12)
