@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seriesloom.llm.common import pieces, staged, tidy
-from seriesloom.llm.tokenfile import WORD_BPE, word_encoder
+from seriesloom.llm.tokenfile import PIECE, WORD_BPE, word_encoder
 
 CAPACITY = 2048
 END = 1
@@ -165,7 +165,7 @@ def items(docs: DataFrame, path: str | None = None, end: int = END, capacity: in
     def run(batches):
         number, places = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 rows, held = [], 0
                 for doc_id, ids in zip(part.column(0).to_pylist(), word_encoder(path).encode(part.column(1).to_pylist())):
                     ids += tail
