@@ -9,6 +9,7 @@ import atexit
 import ctypes
 import threading
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -88,9 +89,17 @@ def staged(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read again: later uses neither repeat nor lose it."""
     folder = new_folder(df.sparkSession, name, outer)
     df.write.option("compression", "zstd").parquet(folder)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended; else they stay until the driver's heap happens to fill."""
+    for _ in range(2):  # what the first collection ends still holds some of them
+        spark._jvm.System.gc()
+        time.sleep(0.05)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once for each application."""
     application = spark.sparkContext.applicationId

@@ -1,21 +1,24 @@
 """The stages, each on its own input against plain Python; the registered names; the library without this package."""
 
+import glob
 import os
 import random
 import re
 import shutil
 import subprocess
 import sys
+import time
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from seriesloom.llm import neardup, quality
+from seriesloom.llm import common, neardup, quality
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
@@ -52,6 +55,16 @@ def test_near_duplicates_go_only_for_one_that_stays(steps):
     assert close == 0
 
 
+def test_without_near_duplicates_what_follows_differs(spark, steps):
+    """The stages after it, run on what went into it instead of what it kept."""
+    docs = spark.createDataFrame(steps[1], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    passages = corpus_pipeline.repeated_passages(spark, docs, SF).collect()
+    assert len(passages) == len(steps[1]) > len(steps[3]) == len(steps[2])
+    docs = spark.createDataFrame(passages, docs.schema)
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.source_mixture(spark, docs, SF).collect())
+    assert mixed != Counter(r["doc_id"] for r in steps[4]) and set(mixed) - {r["doc_id"] for r in steps[2]}
+
+
 def test_no_near_pair_stays_and_the_order_decides(spark):
     """Texts of a family share most words, far beyond the reach of the fingerprints; some words are in a third of all."""
     rnd, rows = random.Random(7), []
@@ -93,6 +106,22 @@ def test_a_template_is_compared_in_proportion(spark, monkeypatch):
     assert seen[1] <= 6 * seen[0] + 4 * 2000
 
 
+def test_shuffle_files_go_once_their_rows_are_staged(spark):
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = files()
+    with common.scratch():
+        rows = common.staged(spark.range(100_000).repartition(4, "id").groupBy(F.col("id") % 1000).count(), "some")
+        end = time.time() + 10
+        while files() - before and time.time() < end:
+            time.sleep(0.1)
+        assert not files() - before
+        assert rows.count() == 1000
+
+
 def test_scratch_goes_with_the_next_stage(spark, steps):
     from pathlib import Path
     base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
