@@ -7,6 +7,7 @@ A row that cannot be used stays, with its ``outcome``, for the run report.
 from __future__ import annotations
 
 import datetime as dt
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,18 @@ def rejected_files(spark: SparkSession, path: str, item: str) -> DataFrame:
     return text.filter(_items("value", item).isNull()).select("file")
 
 
+@contextmanager
+def _listed_in_few_tasks(spark: SparkSession):
+    """Folders of a read are listed in at most as many tasks as a shuffle has; Spark's own setting is a task a folder, up to 10,000."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def snapshot_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of multi-line JSON files in one streaming read: file, outcome (item, empty, rejected), reason, item.
 
@@ -49,7 +62,8 @@ def snapshot_items(spark: SparkSession, path: str) -> DataFrame:
     """
     item = schemas._struct(schemas.SNAPSHOT_ITEM[len("struct<"):-1])
     schema = T.StructType([*item.fields, T.StructField("data", T.ArrayType(item)), T.StructField("_corrupt_record", T.StringType())])
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    with _listed_in_few_tasks(spark):
+        read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     read = read.select("*", F.col("_metadata.file_path").alias("file"))
     known = F.lit(False)
     for name in item.names:

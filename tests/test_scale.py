@@ -1,12 +1,14 @@
 """What large tables need: which rows a query's windows read, and how often rows are exchanged."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from seriesloom import catalog
 from seriesloom import fixtures as fx
+from seriesloom.catalog import q_files
 from seriesloom.operators import calendar as C
 from seriesloom.operators import features as FE
 from seriesloom.operators import keyed as K
@@ -80,3 +82,32 @@ def test_added_days_take_carried_columns(spark):
 def test_labelled_rows_are_computed_once(spark, lines):
     out = catalog.QUERIES["training_rows_until"](spark, lines[1])
     assert "l_shipdate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_snapshot_files_are_written_and_listed_cheaply(spark, tmp_path, monkeypatch):
+    # One file a block is what the query counts; a checksum file beside each and a listing task for each folder are not.
+    events = spark.range(4_000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 30).alias("user_id"), F.lit("view").alias("event_type"), F.lit("{}").alias("props"),
+        F.col("id").cast("double").alias("value"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    folders, real, group = [], q_files.P.snapshot_items, f"listing-{tmp_path}"
+
+    def items(session, folder):
+        at = Path(folder.removeprefix("file:"))
+        folders.append(([x for x in at.rglob("*.txt") if not x.name.startswith(".")], list(at.rglob(".*.crc"))))
+        session.sparkContext.setJobGroup(group, "listing")
+        read = real(session, folder)
+        session.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return read
+
+    monkeypatch.setattr(q_files.P, "snapshot_items", items)
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    found = {r["file"]: (r["outcome"], r["n"]) for r in q_files.snapshot_files(spark, str(tmp_path)).collect()}
+    assert found == {k: (("item", 100) if k % 5 < 2 else ("empty" if k % 5 == 4 else "rejected", 1)) for k in range(40)}
+    (files, checksums), = folders
+    assert len(files) == 40 and not checksums
+    told = spark.sparkContext.statusTracker()
+    tasks = [told.getStageInfo(s).numTasks for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= int(spark.conf.get("spark.sql.shuffle.partitions")) < 40
+    assert spark.conf.get(setting) == before
