@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import pieces, remove, scratch, staged, text_bytes, tidy
@@ -42,6 +42,8 @@ SHARED = 4
 PAIRS, SETTLED = 8, 0.1
 #: Pairs of near texts that the driver may order.
 FEW = 100_000
+#: Longs of 64 rows' bits that are broadcast at most.
+WORDS = 1 << 19
 _LAST = (1 << 63) - 1
 #: Of a pair that shares a shingle, the smaller set has it as an inner one.
 _INNER = "(_na <= _nb AND _ina) OR (_nb <= _na AND _inb)"
@@ -89,20 +91,35 @@ def _frequent(marked: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(often.column(0).to_numpy().view(np.uint64))
 
 
-def _prefixes(marked: DataFrame, shingle: int, least: float) -> DataFrame:
-    """_ndrow, _ndn (size of the set) and _ndfirst (its first shingles)."""
+def _only(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose _ndrow is among ``rows`` (distinct _ndrow, staged), with the columns of ``df``.
+
+    Row numbers are dense in each partition, so a bit for each is broadcast and the texts stay where they are. Beyond WORDS longs of
+    bits the rows are joined.
+    """
+    words = rows.groupBy(F.shiftright("_ndrow", 6).alias("_ndword")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_ndrow & 63 as int))")).alias("_ndbits"))
+    if words.count() > WORDS:
+        return df.join(rows.select("_ndrow"), "_ndrow", "left_semi")
+    found = df.withColumn("_ndword", F.shiftright("_ndrow", 6)).join(F.broadcast(words), "_ndword")
+    return found.where(F.expr("shiftrightunsigned(_ndbits, cast(_ndrow & 63 as int)) & 1 = 1")).select(df.columns)
+
+
+def _prefixes(marked: DataFrame, shingle: int, least: float, texts: DataFrame) -> DataFrame:
+    """_ndrow, _ndid, _fp, _ndn (size of the set) and _ndfirst (its first shingles) of the rows of ``texts``."""
     frequent = marked.sparkSession.sparkContext.broadcast(_frequent(marked, shingle))
 
     def run(batches):
         late = frequent.value
         for batch in batches:
             for part in pieces(batch, "text"):
-                sets = [shingle_set(x, shingle) for x in text_bytes(part.column(1))]
+                sets = [shingle_set(x, shingle) for x in text_bytes(part.column(3))]
                 first = [prefix(x, late, least).view(np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), type=pa.int64()), pa.array(first, type=pa.list_(pa.int64()))],
-                                                 names=["_ndrow", "_ndn", "_ndfirst"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(list(map(len, sets)), type=pa.int64()), pa.array(first, type=pa.list_(pa.int64()))],
+                                                 names=["_ndrow", "_ndid", "_fp", "_ndn", "_ndfirst"])
 
-    return marked.select("_ndrow", "text").mapInArrow(tidy(run), "_ndrow long, _ndn long, _ndfirst array<long>")
+    return _only(marked.select("_ndrow", "_ndid", "_fp", "text"), texts).mapInArrow(
+        tidy(run), "_ndrow long, _ndid long, _fp long, _ndn long, _ndfirst array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -128,7 +145,7 @@ def _near(pairs: DataFrame, marked: DataFrame, shingle: int, least: float) -> Da
 
     with scratch():
         rows = staged(pairs.select(F.col("_a").alias("_ndrow")).unionByName(pairs.select(F.col("_b").alias("_ndrow"))).distinct(), "rows")
-        sets = staged(_sets(marked.select("_ndrow", "text").join(rows, "_ndrow"), shingle), "sets")
+        sets = staged(_sets(_only(marked.select("_ndrow", "text"), rows), shingle), "sets")
         both = (pairs.join(sets.select(F.col("_ndrow").alias("_a"), F.col("_ndset").alias("_seta")), "_a")
                 .join(sets.select(F.col("_ndrow").alias("_b"), F.col("_ndset").alias("_setb")), "_b"))
         return staged(both.select(*columns, "_seta", "_setb").mapInArrow(tidy(run), pairs.schema), "near", outer=True)
@@ -138,7 +155,7 @@ def _entries(marked: DataFrame, texts: DataFrame, shingle: int, bits: int, least
     """_kind (0 shingle, 1 fingerprints), _at (place of the shingle), _in (an inner one), _tok, _ndid, _ndrow, _ndn: the members of all
     groups that may hold a pair. What is exchanged by shingle are narrow rows, once; ids and sizes join what is left of them."""
     with scratch():
-        first = staged(_prefixes(marked, shingle, least).join(texts, "_ndrow"), "prefixes")
+        first = staged(_prefixes(marked, shingle, least, texts), "prefixes")
         inner = F.col("_ndn") - F.ceil(F.col("_ndn") * F.lit(2 * least / (1 + least)) - F.lit(1e-9)) + SHARED
         tokens = first.select("_ndrow", inner.alias("_inner"), F.posexplode("_ndfirst").alias("_at", "_tok")).select(
             F.lit(0).alias("_kind"), "_at", (F.col("_at") < F.col("_inner")).alias("_in"), "_tok", "_ndrow")
@@ -147,9 +164,9 @@ def _entries(marked: DataFrame, texts: DataFrame, shingle: int, bits: int, least
                                                          F.coalesce("_root", "_fp").alias("_tok"), "_ndrow")
         found = []
         for members in (tokens, rooted):
-            together = members.repartition("_tok")
-            several = together.groupBy("_tok").agg(F.count(F.lit(1)).alias("_c"), F.max("_in").alias("_some")).where("_c > 1 AND _some")
-            found.append(together.join(several.select("_tok"), "_tok", "left_semi").select("_kind", "_at", "_in", "_tok", "_ndrow"))
+            group = Window.partitionBy("_tok")
+            several = members.withColumns({"_c": F.count(F.lit(1)).over(group), "_some": F.max("_in").over(group)}).where("_c > 1 AND _some")
+            found.append(several.select("_kind", "_at", "_in", "_tok", "_ndrow"))
         some = staged(found[0].unionByName(found[1]), "members")
         return staged(some.join(first.select("_ndrow", "_ndid", "_ndn"), "_ndrow"), "entries", outer=True)
 
@@ -234,6 +251,6 @@ def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BIT
         stays = texts.select("_ndrow")
         for some in gone:
             stays = stays.join(some, "_ndrow", "left_anti")
-        stays = staged(stays, "stays", outer=True)
+        kept = _only(marked, staged(stays, "stays", outer=True)).select(*columns)
         remove(held)
-    return marked.join(stays, "_ndrow", "left_semi").select(*columns)
+    return kept

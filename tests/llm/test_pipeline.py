@@ -203,3 +203,47 @@ def test_the_library_stands_without_this_package(tmp_path):
     shutil.copy(f"{ROOT}/corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 120 and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def _members(spark, monkeypatch, docs):
+    """What near-dedup keeps, the plan of its result and that of the members of its groups."""
+    plans, plain = {}, neardup.staged
+
+    def watched(df, name, outer=False):
+        if name == "members":
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name, outer)
+
+    monkeypatch.setattr(neardup, "staged", watched)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where the tables are large
+    try:
+        out = neardup.without_near_copies(docs)
+        plans["result"] = out._jdf.queryExecution().executedPlan().toString()
+        return sorted(r["doc_id"] for r in out.collect()), plans
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_stay_where_they_are_and_shingles_are_exchanged_once(spark, monkeypatch):
+    rnd, rows = random.Random(9), []
+    for k in range(120):
+        words = [f"f{k % 50}w{j}" for j in range(120)]
+        words[rnd.randrange(120)] = f"x{k % 90}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows + rows[:7], "doc_id long, text string").repartition(5)
+    kept, plans = _members(spark, monkeypatch, docs)
+    assert len(kept) == 50
+    assert "hashpartitioning(_ndrow" not in plans["result"]
+    assert plans["members"].count("hashpartitioning(_tok") == 2  # shingles and fingerprints, once each
+    monkeypatch.setattr(neardup, "WORDS", 0)  # too many rows for bits: they are joined
+    joined, plans = _members(spark, monkeypatch, docs)
+    assert joined == kept and "hashpartitioning(_ndrow" in plans["result"]
+
+
+def test_rows_are_found_by_their_bits(spark):
+    rows = [0, 1, 62, 63, 64, 127, (1 << 33) + 63, (1 << 33) + 64, (5 << 33) + 5]
+    some = spark.createDataFrame([(x, f"t{x}") for r in rows for x in (r, r + 1000)], "_ndrow long, text string")
+    wanted = spark.createDataFrame([(r,) for r in rows], "_ndrow long")
+    with common.scratch():
+        assert sorted(r["_ndrow"] for r in neardup._only(some, common.staged(wanted, "rows")).collect()) == rows
