@@ -120,3 +120,27 @@ def test_panel_plan_has_one_exchange_on_the_entity(spark):
     by_entity = [x for x in _nodes(plan, "Exchange hashpartitioning") if "date" not in x]
     assert len(by_entity) == 1
     assert not _nodes(plan, "CartesianProduct") and not _nodes(plan, "BroadcastNestedLoopJoin") and "Python" not in plan
+
+
+def test_generated_code_of_the_panel_is_small_enough_to_be_compiled(spark, tmp_path):
+    """The JVM interprets methods of more than 8,000 bytes, for every row."""
+    import re
+
+    from seriesloom import catalog
+    catalog.load_all()
+    at = dt.datetime(2001, 1, 1)
+    spark.createDataFrame([(k, k, 1 + k % 2, 1, 2.0, 10.0 + k, 0.1, at + dt.timedelta(days=k // 2)) for k in range(400)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                          "l_discount double, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "FOP"[k % 3], 10.0 + k, at + dt.timedelta(days=k)) for k in range(200)],
+                          "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = catalog.QUERIES["feature_panel"](spark, str(tmp_path))
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(sizes) > 5 and max(sizes) < 8000, sizes
+    assert df.count() == 400
