@@ -84,6 +84,25 @@ def test_labelled_rows_are_computed_once(spark, lines):
     assert "l_shipdate" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_daily_runs_compute_the_price_rows_once(spark, lines, monkeypatch):
+    orders = [(k, "FOP"[k % 3], 10.0 + k, dt.datetime(2001, 1, 1) + dt.timedelta(days=k)) for k in range(20)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").write.parquet(f"{lines[1]}/orders.parquet")
+    made, real = [], fx.panel
+
+    def panel(*args, **kw):
+        made.append(args)
+        return real(*args, **kw)
+
+    def begun(rows, *args, **kw):
+        raise InterruptedError
+
+    monkeypatch.setattr(fx, "panel", panel)
+    monkeypatch.setattr(q_files.daily, "train_run", begun)
+    with pytest.raises(InterruptedError):
+        q_files.daily_runs(spark, lines[1])
+    assert len(made) == 1
+
+
 def test_many_snapshot_files_are_written_and_listed_cheaply(spark, tmp_path, monkeypatch):
     # One file a block is what the query counts; a checksum file beside each and a listing task for each folder are not.
     events = spark.range(4_000).select(
